@@ -6,13 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from branchframe.llm.bpe import bpe_round_trip
 from branchframe.llm.chat import format_chats
 from branchframe.llm.common import table
 from branchframe.llm.embed_dedup import near_vectors
 from branchframe.llm.exact_dedup import exact_dedup
+from branchframe.llm.packing import pack
+from branchframe.llm.simhash import near_duplicates
+from branchframe.llm.token_counts import token_counts
 from branchframe.llm.warc import warc_round_trip
 
 
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary file lies on this machine and on every executor."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
@@ -21,16 +40,24 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_warc, op6_exact_dedup, op8_chat_format, op10_embedding_near_dedup]
+    found = [op2_token_counts, op3_simhash, op4_warc, op6_exact_dedup, op7_packing, op8_chat_format, op9_bpe_round_trip, op10_embedding_near_dedup]
     return {f.__name__: f for f in found}
 
 
