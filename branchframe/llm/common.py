@@ -117,3 +117,22 @@ def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of values[offsets[i]:offsets[i+1]] for each i; empty runs give 0."""
     total = np.concatenate([np.zeros(1, values.dtype if values.dtype.kind == "f" else np.int64), np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)])
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that stay by ``decisions(doc_id, kept, text_sha256)``, one row for each of docs.
+
+    Ids of which no row stays leave by an anti-join (Spark broadcasts them only if they are few). Of
+    ids that stay in part, which takes repeated ids, one row stays for each kept text.
+    """
+    per_id = materialise(decisions.groupBy("doc_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("kept"), 1)).alias("k")).filter("k < n"), "leaving")
+    gone = per_id.select(F.col("doc_id").alias("gone_id"))
+    stay = docs.join(gone, F.col(id_col).eqNullSafe(F.col("gone_id")), "left_anti")
+    part = per_id.filter("k > 0")
+    if part.isEmpty():
+        return stay
+    sure = decisions.filter("kept").join(part.select(F.col("doc_id").alias("part_id")), F.col("doc_id").eqNullSafe(F.col("part_id")), "left_semi").select("doc_id", "text_sha256").distinct()
+    sure = sure.select(F.col("doc_id").alias("sure_id"), F.col("text_sha256").alias("sure_code"))
+    code = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    some = docs.withColumn("_code", code).join(sure, F.col(id_col).eqNullSafe(F.col("sure_id")) & (F.col("_code") == F.col("sure_code")), "left_semi")
+    return stay.unionByName(some.dropDuplicates([id_col, "_code"]).drop("_code"))

@@ -11,9 +11,11 @@ from branchframe.llm.chat import format_chats
 from branchframe.llm.common import table
 from branchframe.llm.embed_dedup import near_vectors
 from branchframe.llm.exact_dedup import exact_dedup
+from branchframe.llm.language_id import identify_languages
 from branchframe.llm.packing import pack
 from branchframe.llm.simhash import near_duplicates
 from branchframe.llm.token_counts import token_counts
+from branchframe.llm.toxicity import score_toxicity
 from branchframe.llm.warc import warc_round_trip
 
 
@@ -24,6 +26,10 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -36,6 +42,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -57,7 +67,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_token_counts, op3_simhash, op4_warc, op6_exact_dedup, op7_packing, op8_chat_format, op9_bpe_round_trip, op10_embedding_near_dedup]
+    found = [op1_language_id, op2_token_counts, op3_simhash, op4_warc, op5_toxicity, op6_exact_dedup, op7_packing, op8_chat_format, op9_bpe_round_trip, op10_embedding_near_dedup]
     return {f.__name__: f for f in found}
 
 
