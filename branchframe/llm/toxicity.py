@@ -29,9 +29,9 @@ from branchframe.llm.common import id_crc, small_batches, utf8_parts
 #: Bytes of a window, of the ordinary dictionary and at most of the toxic fragments; the level of compression.
 WINDOW, ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 72, 96 << 10, 16 << 10, 9
 #: Bounds of the labelled sample: documents of each kind, and characters of a document in it.
-TOXIC_DOCS, CLEAN_DOCS, SAMPLE_CHARS = 1800, 5400, 32_768
-#: Shortest fragment in bytes, and the likelihood ratio (G) that makes one telling.
-FRAGMENT, TELLING = 4, 30.0
+TOXIC_DOCS, CLEAN_DOCS, SAMPLE_CHARS = 1800, 4500, 32_768
+#: Shortest fragment in bytes; fragments that may look telling by chance, of all that are tried.
+FRAGMENT, CHANCE = 4, 1.0
 STEPS = (1, 2, 3, 4, 6)
 _WORD = re.compile(rb"[A-Za-z0-9'\x80-\xff]+")
 
@@ -131,7 +131,8 @@ def telling_fragments(toxic: list[bytes], clean: list[bytes]) -> bytes:
     others: Counter = Counter()
     for text in clean:
         others.update(f for f in _fragments(text) if f in seen)
-    ranked = sorted(((g, f) for f, a in seen.items() if (g := _ratio(a, others[f], len(toxic), len(clean))) >= TELLING), reverse=True)
+    telling = 2 * math.log(max(2.0, len(seen) / CHANCE))  # the chance of a larger G is about exp(-G / 2)
+    ranked = sorted(((g, f) for f, a in seen.items() if (g := _ratio(a, others[f], len(toxic), len(clean))) >= telling), reverse=True)
     kept: list[bytes] = []
     held = b""
     for _, fragment in ranked:
@@ -160,13 +161,14 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def fit(toxic: list[bytes], clean: list[bytes]) -> ToxicityModel:
-    """Every other document goes to the dictionaries, the rest to the calibration."""
+    """Two of three documents go to the dictionaries, the rest to the calibration."""
     toxic, clean = _unlike(toxic), _unlike(clean)
-    held = telling_fragments(toxic[::2], clean[::2])
-    ordinary = _ordinary(clean[::2])
-    rest = [(t, 1.0) for t in toxic[1::2]] + [(t, 0.0) for t in clean[1::2]]
+    mined = [[t for i, t in enumerate(x) if i % 3 != 2] for x in (toxic, clean)]
+    held = telling_fragments(*mined)
+    ordinary = _ordinary(mined[1])
+    rest = [(t, 1.0) for t in toxic[2::3]] + [(t, 0.0) for t in clean[2::3]]
     width = 2 * len(STEPS) + 4
-    if not rest or not toxic[1::2] or not clean[1::2]:
+    if not toxic[2::3] or not clean[2::3]:
         sure = 8.0 if toxic and not clean else -8.0
         return ToxicityModel(ordinary, held + ordinary, np.zeros(width), np.ones(width), np.append(np.zeros(width), sure))
     x = np.array([features(savings(t, ordinary, held + ordinary)) for t, _ in rest])
