@@ -1,0 +1 @@
+"""branchframe: versioned tables, key-value maps and documents as Spark DataFrames."""
