@@ -130,7 +130,7 @@ def merge_schemas(base: Schema, ours: Schema, theirs: Schema) -> tuple[Schema |
         return None, [SchemaConflict("schema", "the primary key changed; rows can't be matched across it")]
     whole, clean = three_way(base, ours, theirs)
     if clean:
-        return whole, []
+        return _fitting(whole, ours, theirs)
     found: list[SchemaConflict] = []
 
     def members(kind: str, of, merge_one) -> list:
@@ -175,10 +175,13 @@ def merge_schemas(base: Schema, ours: Schema, theirs: Schema) -> tuple[Schema |
     indexes = [x for x in members("schema/index/", lambda s: s.indexes, one_index) if present.issuperset(x.columns)]
     if found:
         return None, found
-    merged = Schema(tuple(columns), base.primary_key, tuple(indexes))
+    return _fitting(Schema(tuple(columns), base.primary_key, tuple(indexes)), ours, theirs)
+
+
+def _fitting(merged: Schema, *sides: Schema) -> tuple[Schema | None, list[SchemaConflict]]:
+    """A merged schema that both sides' rows can be kept under, or a conflict."""
     try:
-        merged.validate()
-        for side in (ours, theirs):
+        for side in sides:
             check_alterable(side, merged)
     except InvalidError as error:
         return None, [SchemaConflict("schema", f"the merged schema doesn't fit: {error}")]
