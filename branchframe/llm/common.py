@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from branchframe.sources.shipping import ship
@@ -59,6 +59,19 @@ def id_crc(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary"))
 
 
+def hash_sample(rows: DataFrame, group_col: str, id_col: str, most: int, groups: int) -> DataFrame:
+    """(id, group, rank): of each of the ``groups`` largest groups the ``most`` rows that come first by a hash of the id.
+
+    Groups are counted first (partial sums), and a row is looked at only if its hash is in the share
+    that holds about four times ``most`` rows; so however large a group is, few rows are ranked.
+    """
+    counts = rows.groupBy(F.col(group_col).alias("group")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "group").limit(groups)
+    place = F.shiftrightunsigned(F.xxhash64(id_col), 11) / F.lit(float(1 << 53))
+    some = rows.select(F.col(id_col).alias("id"), F.col(group_col).alias("group"), place.alias("place")).join(F.broadcast(counts), "group").filter(F.col("place") * F.col("n") < 4.0 * most)
+    order = Window.partitionBy("group").orderBy("place", "id")
+    return some.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("id", "group", "rank")
+
+
 def small_batches(spark: SparkSession, rows: int = 2000, megabytes: int = 16) -> None:
     """Bound the Arrow batches that Python workers see by rows and, where Spark can, by bytes; ship the package."""
     ship(spark)

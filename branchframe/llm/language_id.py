@@ -18,13 +18,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from branchframe.llm.common import id_crc, slices, small_batches, utf8_parts
+from branchframe.llm.common import hash_sample, id_crc, slices, small_batches, utf8_parts
 
-#: Bytes of context; bounds of the sample: documents of a language, characters of a document, languages.
-ORDER, SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES = 4, 400, 16_384, 400
+#: Bytes of context; bounds of the sample: documents of a language, characters of a document, languages, documents in all.
+ORDER, SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES, SAMPLE_ALL = 4, 400, 16_384, 400, 8_000
 UNKNOWN = "und"
 #: Bits a byte from which a text is in none of the learned languages: more than letters at random need.
 FOREIGN_BITS = 6.0
@@ -195,15 +195,15 @@ def train_on(samples: dict[str, list[bytes]]) -> LanguageModel:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Fit on a bounded sample of rows with a language, outside the held-out fold (crc32 of the id mod 4 is 2).
 
-    Of each language the SAMPLE_DOCS rows that come first by a hash of the id, of SAMPLE_CHARS at most.
+    Of each language the SAMPLE_DOCS rows that come first by a hash of the id, of SAMPLE_CHARS at most;
+    with many languages fewer of each, SAMPLE_ALL together.
     """
-    order = Window.partitionBy("lang").orderBy("place", "doc_id")
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("place"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     own = own.filter((id_crc("doc_id") % 4 != 2) & F.col("lang").isNotNull() & (F.length("text").between(1, SAMPLE_CHARS)))
-    picked = own.select("doc_id", "lang", "place").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SAMPLE_DOCS)
-    picked = picked.orderBy("rank", "lang").limit(SAMPLE_DOCS * LANGUAGES).select(F.col("doc_id").alias("picked_id"), "rank").dropDuplicates(["picked_id"])
+    picked = hash_sample(own, "lang", "doc_id", SAMPLE_DOCS, LANGUAGES).groupBy(F.col("id").alias("picked_id")).agg(F.min("rank").alias("rank"))
+    picked = picked.orderBy("rank", "picked_id").limit(SAMPLE_ALL)
     samples: dict[str, list] = {}
-    for row in own.join(F.broadcast(picked), own["doc_id"] == picked["picked_id"]).select("lang", "rank", F.col("text").cast("binary").alias("text")).toLocalIterator():
+    for row in own.join(F.broadcast(picked), own["doc_id"] == picked["picked_id"]).select("lang", "rank", F.col("text").cast("binary").alias("text")).collect():
         samples.setdefault(row["lang"], []).append((row["rank"], bytes(row["text"])))
     return train_on({k: [t for _, t in sorted(v)[:SAMPLE_DOCS]] for k, v in samples.items()})
 

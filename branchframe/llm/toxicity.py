@@ -24,12 +24,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from branchframe.llm.common import id_crc, small_batches, utf8_parts
+from branchframe.llm.common import hash_sample, id_crc, small_batches, utf8_parts
 
 #: Bytes of a window, of the ordinary dictionary and at most of the toxic fragments; the level of compression.
 WINDOW, ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 72, 96 << 10, 16 << 10, 9
 #: Bounds of the labelled sample: documents of each kind, and characters of a document in it.
-TOXIC_DOCS, CLEAN_DOCS, SAMPLE_CHARS = 1800, 4500, 32_768
+TOXIC_DOCS, CLEAN_DOCS, SAMPLE_CHARS = 1800, 4500, 16_384
 #: Shortest fragment in bytes; fragments that may look telling by chance, of all that are tried.
 FRAGMENT, CHANCE = 4, 1.0
 STEPS = (1, 2, 3, 4, 6)
@@ -181,12 +181,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     The sample takes the rows of each label that come first by a hash of the id: TOXIC_DOCS and
     CLEAN_DOCS at most, of SAMPLE_CHARS at most. Its ids are few, so they are broadcast.
     """
-    own = labels.filter((id_crc("doc_id") % 5 != 0) & F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("label_id"), "toxic", F.xxhash64("doc_id").alias("place"))
-    some = [own.filter(F.col("toxic") == kind).orderBy("place", "label_id").limit(most) for kind, most in ((1, TOXIC_DOCS), (0, CLEAN_DOCS))]
-    picked = some[0].unionByName(some[1]).groupBy("label_id", "place").agg(F.max("toxic").alias("toxic"))
+    own = labels.filter((id_crc("doc_id") % 5 != 0) & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    some = [hash_sample(own.filter(F.col("toxic") == kind), "toxic", "doc_id", most, 1) for kind, most in ((1, TOXIC_DOCS), (0, CLEAN_DOCS))]
+    picked = some[0].unionByName(some[1]).groupBy(F.col("id").alias("label_id")).agg(F.max("group").alias("toxic"), F.min("rank").alias("place"))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.length("text").between(1, SAMPLE_CHARS))
     rows = texts.join(F.broadcast(picked), texts["doc_id"] == picked["label_id"]).select("place", "doc_id", "toxic", F.col("text").cast("binary").alias("text"))
-    held = sorted((r for r in rows.toLocalIterator()), key=lambda r: (r["place"], r["doc_id"]))
+    held = sorted(rows.collect(), key=lambda r: (r["place"], r["doc_id"]))
     kinds = [[bytes(r["text"]) for r in held if r["toxic"] == kind][:most] for kind, most in ((1, TOXIC_DOCS), (0, CLEAN_DOCS))]
     return fit(*kinds)
 
