@@ -173,7 +173,7 @@ def test_warc_of_odd_rows(spark):
     want = []
     for i, _, html in PAGES:
         body = (html or "").encode()
-        top = max(j for j, _, h in PAGES if (h or "") == (html or "") and j is not None or h == html == "none" and (j := -1))
+        top = max((j for j, _, h in PAGES if (h or "") == (html or "") and j is not None), default=None)
         response = i is None or i == top
         want.append((str(i), len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "response" if response else "revisit", None if response else top))
     assert sorted((str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == sorted(want, key=lambda x: (x[0], x[1]))
