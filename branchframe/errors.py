@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
 import secrets
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+
 
 class EngineError(Exception):
     """Base of all; ``kind`` names what happened."""
@@ -42,3 +47,25 @@ def scrub(error: BaseException, log: Logger | None = None) -> EngineError:
     out = kind(f"{kind.kind} ({code})")
     out.scrubbed = True  # type: ignore[attr-defined]
     return out
+
+
+def guarded(log_of: Callable[[object], Logger | None]) -> Callable[[type], type]:
+    """A class whose public methods let Spark's errors, which may quote data, out only as a kind and a code."""
+
+    def wrap(method: Callable) -> Callable:
+        @functools.wraps(method)
+        def call(self, *args, **kwargs):
+            try:
+                return method(self, *args, **kwargs)
+            except (PySparkException, Py4JError) as error:
+                raise scrub(error, log_of(self)) from None
+
+        return call
+
+    def decorate(cls: type) -> type:
+        for name, method in list(vars(cls).items()):
+            if not name.startswith("_") and inspect.isfunction(method):
+                setattr(cls, name, wrap(method))
+        return cls
+
+    return decorate

@@ -9,6 +9,7 @@ from branchframe.engine import grants as g
 from branchframe.engine.database import Database
 from branchframe.errors import (
     ClosedError,
+    EngineError,
     ExistsError,
     InUseError,
     InvalidError,
@@ -289,3 +290,43 @@ def test_numeric_bounds(spark):
     got = [r[0] for r in spark.createDataFrame([(x,) for x in given], "x string").select(canonical_numeric(F.col("x"))).collect()]
     assert got[0] is None and got[1] is None and got[2] is None and got[3] == "1" + "0" * 999 and got[4] is None and got[5] == "9" * 1000 and got[6] is None
     assert got[7] == "0" and got[8] == "0" and got[9] is not None and got[10] is None
+
+
+def test_waiting_transactions_share_swaps_and_fail_alone(s, db):
+    import threading
+
+    people = [(1, "ada", 50), (2, "bob", 51), (1, "ada", 52)]
+    txns = []
+    for row in people:
+        tx = db.session("bob").begin()
+        tx.table("people").update([row])
+        txns.append(tx)
+    errors, before = [], db.state("main").version
+    lock = db.lock("main")
+    lock.acquire()  # the first to come leads and waits here, so the others share its next batch
+
+    def commit(tx):
+        try:
+            tx.commit()
+        except SerializationError as error:
+            errors.append(error)
+
+    threads = [threading.Thread(target=commit, args=(tx,)) for tx in txns]
+    for t in threads:
+        t.start()
+    lock.release()
+    for t in threads:
+        t.join()
+    assert len(errors) == 1 and db.state("main").version <= before + 2
+    got = rows(s.begin().table("people").frame())
+    assert got[1] == (2, "bob", 51) and got[0] in [(1, "ada", 50), (1, "ada", 52)]
+
+
+def test_sparks_errors_leave_as_a_kind_and_a_code(spark, tmp_path):
+    log = []
+    db = Database.create(spark, str(tmp_path / "db"), n_buckets=2, logger=lambda code, detail: log.append((code, detail)))
+    tx = db.session("ann").begin()
+    t = tx.create_table("people", PEOPLE)
+    with pytest.raises(EngineError) as caught:
+        t.insert([("secret text", "x", 1)])
+    assert "secret" not in str(caught.value) and "secret" in log[0][1] and log[0][0] in str(caught.value)

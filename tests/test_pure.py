@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 
 from branchframe.engine import grants as g
 from branchframe.errors import EngineError, InvalidError, NotFoundError, PermissionDeniedError, scrub
+from branchframe.functions.locations import Location, encode_location, parse_location
 from branchframe.functions.jsontext import Number, encode, parse
 from branchframe.operators.sequence import align, merge_sequences, merge_trees
 from branchframe.plans.schema import Column, Index, Schema, check_alterable, merge_schemas
@@ -183,3 +184,17 @@ def test_errors_are_scrubbed_once_with_the_detail_in_the_log():
     assert isinstance(found, NotFoundError) and "people" not in str(found) and log[0][0] in str(found) and "row 42" in log[0][1]
     assert scrub(found, lambda *x: log.append(x)) is found and len(log) == 1
     assert isinstance(scrub(ValueError("x")), EngineError)
+
+
+@pytest.mark.parametrize("place", [
+    Location((1,)), Location((1, "é"), 3), Location((b"key",)), Location((b"key",), "field"), Location((b"id",), ("a", "0")), Location((None, True), 2), Location((b"",), ()),
+    Location(schema="schema"), Location(schema="schema/4"), Location(schema="schema/index/10"),
+])
+def test_locations_have_one_spelling(place):
+    assert parse_location(encode_location(place)) == place
+
+
+@pytest.mark.parametrize("forged", ["", "[]", "[[]]", "[[1], 2]", '[[1],2,3]', "schema/0", "schema/x", "schemas", '[[{"hex":"AB"}]]', "[[1.5]]", "{}", "nonsense"])
+def test_forged_locations_are_refused(forged):
+    with pytest.raises(InvalidError):
+        parse_location(forged)
