@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from branchframe.llm.common import small_batches
+from branchframe.llm.common import small_batches, tidy_after
 from branchframe.llm.words import HashIndex, WordHashes, code_points, dropped_space_pieces, folded, kept_space_pieces
 
 #: Code points handled together, and words kept by a worker.
-CHUNK, WORDS = 1 << 19, 800_000
+CHUNK, WORDS = 1 << 18, 250_000
 _NEVER = np.int64(1 << 40)
 
 
@@ -262,11 +262,11 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     empty: no tokens. Special strings in a text become their ids, as is the library's default. One
     row comes out for each row in, repeated or not; other columns are ignored.
     """
-    small_batches(docs.sparkSession, 4000, 12)
+    small_batches(docs.sparkSession, 1000, 4)
 
     def run(batches):
         own = encoder(path)
-        for batch in batches:
+        for batch in tidy_after(batches):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             ids, offsets = own.encode(texts)
             ids = ids.astype("<u4")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +86,21 @@ def small_batches(spark: SparkSession, rows: int = 2000, megabytes: int = 16) ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
 
+def tidy_after(batches: Iterator) -> Iterator:
+    """The same batches; when a task has had the last one, freed memory goes back to the system.
+
+    Python workers are used again by later stages, beside other workers and a growing JVM.
+    """
+    try:
+        yield from batches
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def utf8_parts(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow string array and the n + 1 offsets of its rows, without copies; nulls are empty."""
     if pa.types.is_large_string(array.type) or pa.types.is_large_binary(array.type):

@@ -14,21 +14,24 @@ batch looks all its bytes up in the longest order, and what isn't there in the n
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from branchframe.llm.common import hash_sample, id_crc, slices, small_batches, utf8_parts
+from branchframe.llm.common import hash_sample, id_crc, slices, small_batches, tidy_after, utf8_parts
 
 #: Bytes of context; bounds of the sample: documents of a language, characters of a document, languages, documents in all.
 ORDER, SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES, SAMPLE_ALL = 4, 400, 16_384, 400, 8_000
 UNKNOWN = "und"
 #: Bits a byte from which a text is in none of the learned languages: more than letters at random need.
 FOREIGN_BITS = 6.0
-_BATCH = 1 << 19
+_BATCH = 1 << 18
 
 
 def _fold_table() -> np.ndarray:
@@ -225,6 +228,12 @@ def predict(model: LanguageModel, raw: np.ndarray, offsets: np.ndarray) -> tuple
     return found, np.where(letters, score, 0.0), shortest / np.maximum(sizes, 1)
 
 
+@lru_cache(maxsize=1)
+def _unpacked(packed: bytes) -> LanguageModel:
+    """A worker's one model at a time; what was broadcast stays small."""
+    return pickle.loads(zlib.decompress(packed))  # noqa: S301  our own bytes
+
+
 _PREDICTIONS = "doc_id bigint, held_out boolean, lang_pred string, score double, bits_per_byte double"
 
 
@@ -237,13 +246,13 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     each row in; other columns are ignored. A null id is neither learned from nor held out.
     """
     spark = docs.sparkSession
-    small_batches(spark, 4000, 8)
-    model = spark.sparkContext.broadcast(train(docs, id_col, text_col, lang_col))
+    small_batches(spark, 1000, 4)
+    model = spark.sparkContext.broadcast(zlib.compress(pickle.dumps(train(docs, id_col, text_col, lang_col)), 1))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 
     def run(batches):
-        own = model.value
-        for batch in batches:
+        own = _unpacked(model.value)
+        for batch in tidy_after(batches):
             languages, score, bits = predict(own, *utf8_parts(batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(languages, pa.string()), pa.array(score), pa.array(bits)], schema=schema)
 
@@ -258,15 +267,16 @@ def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     every language go. If no language can be learned, all rows stay that have a letter.
     """
     spark = docs.sparkSession
-    small_batches(spark, 4000, 8)
-    model = spark.sparkContext.broadcast(train(docs, id_col, text_col, lang_col))
+    small_batches(spark, 1000, 4)
+    model = spark.sparkContext.broadcast(zlib.compress(pickle.dumps(train(docs, id_col, text_col, lang_col)), 1))
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
-            languages, _, bits = predict(model.value, *utf8_parts(batch.column(at)))
+        own = _unpacked(model.value)
+        for batch in tidy_after(batches):
+            languages, _, bits = predict(own, *utf8_parts(batch.column(at)))
             unknown = [x == UNKNOWN for x in languages]
-            if not model.value.languages:
+            if not own.languages:
                 unknown = [not any(map(str.isalpha, x or "")) for x in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(~np.array(unknown, bool) & (bits < FOREIGN_BITS)))
 

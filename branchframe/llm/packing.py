@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from branchframe.llm.bpe import encoder
-from branchframe.llm.common import discard, materialise, small_batches
+from branchframe.llm.common import discard, materialise, small_batches, tidy_after
 
 #: Pieces in a partition, about, and the most rounds of repacking.
 PARTITION, ROUNDS = 8192, 4
@@ -42,11 +42,11 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
 
 def tokenised_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece of each document; null texts are empty (the end token alone)."""
-    small_batches(docs.sparkSession, 4000, 12)
+    small_batches(docs.sparkSession, 1000, 4)
 
     def run(batches):
         own = encoder(path)
-        for batch in batches:
+        for batch in tidy_after(batches):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             ids, offsets = own.encode(texts)
             rows = []

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from branchframe.llm.common import discard, materialise, small_batches, utf8_parts
+from branchframe.llm.common import discard, materialise, small_batches, tidy_after, utf8_parts
 from branchframe.llm.components import connected_components
 
 #: Words in a shingle, and bits that may differ.
@@ -129,10 +129,10 @@ _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint's bits as a bigint. Null texts count as empty."""
-    small_batches(docs.sparkSession, 4000, 16)
+    small_batches(docs.sparkSession, 1000, 4)
 
     def run(batches):
-        for batch in batches:
+        for batch in tidy_after(batches):
             raw, offsets = utf8_parts(batch.column(1))
             whole = raw.tobytes()
             prints = [fingerprint(whole[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]

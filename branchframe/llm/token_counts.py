@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from branchframe.llm.bpe import BpeModel
-from branchframe.llm.common import row_sums, small_batches
+from branchframe.llm.common import row_sums, small_batches, tidy_after
 from branchframe.llm.words import code_points, dropped_space_pieces, folded
 
 #: Steps of a chunk, code points handled together, states kept by a worker.
-STEPS, CHUNK, STATES = 192, 1 << 19, 100_000
+STEPS, CHUNK, STATES = 192, 1 << 18, 70_000
 END = 256
 
 
@@ -207,11 +207,11 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     bytes, no tokens. Special strings in a text count as one token each, as is the library's
     default. One row comes out for each row in; other columns are ignored.
     """
-    small_batches(docs.sparkSession, 4000, 12)
+    small_batches(docs.sparkSession, 1000, 4)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def run(batches):
-        for batch in batches:
+        for batch in tidy_after(batches):
             n = count_tokens(path, [x or "" for x in batch.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(n > limit)], schema=schema)
 

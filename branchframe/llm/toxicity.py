@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from branchframe.llm.common import hash_sample, id_crc, small_batches, utf8_parts
+from branchframe.llm.common import hash_sample, id_crc, small_batches, tidy_after, utf8_parts
 
 #: Bytes of a window, of the ordinary dictionary and at most of the toxic fragments; the level of compression.
 WINDOW, ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 72, 96 << 10, 16 << 10, 9
@@ -210,12 +210,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     for each row in; other columns are ignored. A null id is not held out.
     """
     spark = docs.sparkSession
-    small_batches(spark, 4000, 8)
+    small_batches(spark, 1000, 4)
     model = spark.sparkContext.broadcast(train(docs, labels, id_col, text_col))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches):
-        for batch in batches:
+        for batch in tidy_after(batches):
             score = _batch_scores(model.value, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], schema=schema)
 
@@ -226,12 +226,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores below the threshold; nothing is shuffled for it."""
     spark = docs.sparkSession
-    small_batches(spark, 4000, 8)
+    small_batches(spark, 1000, 4)
     model = spark.sparkContext.broadcast(train(docs, labels, id_col, text_col))
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in tidy_after(batches):
             yield batch.filter(pa.array(_batch_scores(model.value, batch.column(at)) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

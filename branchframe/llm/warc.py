@@ -52,7 +52,7 @@ def _record(kind: Column | str, record_id: Column, headers: list[tuple[str, Colu
 
 
 def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, payload, digest, length, own id, and the winner's of its payload (null if no other row has it)."""
+    """page_id, url, payload, its SHA-256, its base32 SHA-1 digest and its length."""
     payload = F.coalesce(F.col(html_col), F.lit(""))
     base = pages.select(
         F.col(id_col).cast("bigint").alias("page_id"), F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\r\n]", "").alias("url"), payload.alias("payload"),

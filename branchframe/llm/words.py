@@ -25,12 +25,14 @@ def classes() -> np.ndarray:
     from tokenizers import Regex
     from tokenizers.pre_tokenizers import Split
 
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    text, at = "".join(map(chr, points)), np.array(points)
     out = np.full(0x110000, OTHER, np.uint8)
-    for pattern, kind in ((r"\s+", SPACE), (r"\p{L}+", LETTER), (r"\p{N}+", NUMBER)):
-        for _, (a, b) in Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text):
-            out[at[a:b]] = kind
+    patterns = [(Split(Regex(p), "removed", invert=True), kind) for p, kind in ((r"\s+", SPACE), (r"\p{L}+", LETTER), (r"\p{N}+", NUMBER))]
+    for first in range(0, 0x110000, 1 << 12):
+        at = np.array([c for c in range(first, first + (1 << 12)) if not 0xD800 <= c < 0xE000])
+        text = "".join(map(chr, at.tolist()))
+        for pattern, kind in patterns:
+            for _, (a, b) in pattern.pre_tokenize_str(text) if text else ():
+                out[at[a:b]] = kind
     out[0xD800:0xE000] = BREAK
     return out
 
