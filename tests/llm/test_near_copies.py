@@ -53,3 +53,16 @@ def test_large_groups_are_compared_beyond_their_heads(spark):
         rows.append((i, " ".join(words)))
         words = edited(rng, words, 1)
     assert near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).filter("kept").count() == 1
+
+
+def test_near_stage_decides_by_row(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(_WORDS[k] for k in rng.integers(0, 5000, 120)) for _ in range(6)]
+    copy = " ".join(edited(rng, texts[0].split(), 1))
+    nulls = [(1, texts[0]), (None, copy), (None, texts[1]), (None, texts[2])]
+    assert near_stage(spark, nulls) == sorted([(1, texts[0]), (None, texts[1]), (None, texts[2])], key=str)
+    repeated = [(1, texts[0]), (2, copy), (2, texts[3])]
+    assert near_stage(spark, repeated) == sorted([(1, texts[0]), (2, texts[3])], key=str)
+    same_id, no_ids = near_stage(spark, [(7, texts[0]), (7, copy), (7, texts[4])]), near_stage(spark, [(None, texts[0]), (None, copy), (None, texts[5])])
+    assert len(same_id) == len(no_ids) == 2 and (7, texts[4]) in same_id and (None, texts[5]) in no_ids
+    assert len(near_stage(spark, [(3, texts[0]), (3, texts[0]), (4, copy), (5, None), (5, "")])) == 2
