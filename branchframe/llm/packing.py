@@ -4,9 +4,9 @@
    that all its pieces but the first are full; full pieces are sequences of their own.
 2. The rest is dealt into partitions by a hash, and each is packed by best-fit decreasing. Lower
    bounds from dual feasible functions certify a partition whose number of bins can't be beaten.
-3. Partitions with a gap give up the pieces in their bins that aren't full. These are dealt anew
-   into fewer partitions, so that they meet others' pieces, and packed again; a round that saves no
-   bin ends it.
+3. Partitions with a gap give up the pieces in their bins that aren't full, certified ones those in
+   their least filled bins, which hold nearly all their room. These are dealt anew into fewer
+   partitions, so that they meet others' pieces, and packed again; a round that saves no bin ends it.
 Only ids, lengths and checksums travel; the tokens never leave the task that made them.
 """
 
@@ -25,9 +25,11 @@ from branchframe.llm.common import discard, materialise, small_batches, tidy_aft
 
 #: Pieces in a partition, about, and the most rounds of repacking.
 PARTITION, ROUNDS = 8192, 4
+#: Share of a certified partition's room that the bins it gives up hold at least.
+GIVEN_ROOM = 0.95
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("row", pa.int64())])
-_PACKED = pa.schema([*_PIECES, ("bin", pa.int64()), ("offset", pa.int64()), ("fill", pa.int64()), ("certified", pa.bool_()), ("part", pa.int64())])
+_PACKED = pa.schema([*_PIECES, ("bin", pa.int64()), ("offset", pa.int64()), ("fill", pa.int64()), ("again", pa.bool_()), ("part", pa.int64())])
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -113,15 +115,27 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, np.array(fill, np.int64)
 
 
+def given_up(fill: np.ndarray, capacity: int, certified: bool) -> np.ndarray:
+    """Whether each bin is dealt anew: it isn't full, and in a certified partition is among the least filled."""
+    room = capacity - fill
+    if not certified:
+        return room > 0
+    order = np.argsort(-room, kind="stable")
+    before = np.cumsum(room[order]) - room[order]
+    out = np.zeros(len(fill), bool)
+    out[order[before < GIVEN_ROOM * room.sum()]] = True
+    return out
+
+
 def _pack(capacity: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         order = [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("row", "ascending")]
         table = table.select(_PIECES.names).sort_by(order)
         lengths = table["length"].to_numpy()
         bins, offsets, fill = best_fit_decreasing(lengths, capacity)
-        certified = len(fill) == lower_bound(lengths, capacity)
+        again = given_up(fill, capacity, len(fill) == lower_bound(lengths, capacity))
         n = len(lengths)
-        more = [pa.array(bins), pa.array(offsets), pa.array(fill[bins]), pa.array(np.full(n, certified)), pa.array(np.full(n, key[0].as_py()))]
+        more = [pa.array(bins), pa.array(offsets), pa.array(fill[bins]), pa.array(again[bins]), pa.array(np.full(n, key[0].as_py()))]
         return pa.Table.from_arrays([*(c.combine_chunks() for c in table.columns), *more], schema=_PACKED)
 
     return run
@@ -159,11 +173,11 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_c
             done.append(_final(packed, level - 1, columns))
             break
         if packed is not None:
-            stays = packed.filter(_closed(capacity))
+            stays = packed.filter("not again")
             done.append(_final(stays, level - 1, columns))
         packed = now
         level += 1
-        rest = packed.filter(~_closed(capacity))
+        rest = packed.filter("again")
         here, total = rest.count(), _bins_of(rest)
         if level > ROUNDS or not here or parts == 1:
             done.append(_final(packed, level - 1, columns))
@@ -174,11 +188,6 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_c
     return out
 
 
-def _closed(capacity: int):
-    """Bins that stay: full ones, and all bins of a partition whose number is certified."""
-    return F.col("certified") | (F.col("fill") == capacity)
-
-
 def _bins_of(rows: DataFrame) -> int:
     return rows.select("part", "bin").distinct().count()
 

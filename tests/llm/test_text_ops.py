@@ -112,6 +112,14 @@ def test_repacking_in_many_partitions(spark, monkeypatch):
     assert check_packing(pack(docs, BYTE).collect(), ids_of, 2048) <= -(-sum(map(len, ids_of.values())) // 2048) + 8
 
 
+def test_last_bins_of_certified_partitions_meet(spark, monkeypatch):
+    from branchframe.llm import packing
+
+    monkeypatch.setattr(packing, "PARTITION", 200)
+    docs = spark.range(1000).select("id", F.lit(None).cast("string").alias("text")).withColumnRenamed("id", "doc_id")
+    assert check_packing(pack(docs, BYTE, capacity=64).collect(), {i: [0] for i in range(1000)}, 64) == -(-1000 // 64)
+
+
 def test_bounds_and_best_fit():
     rng = np.random.default_rng(5)
     for _ in range(60):
