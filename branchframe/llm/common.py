@@ -134,20 +134,35 @@ def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that stay by ``decisions(doc_id, kept, text_sha256)``, one row for each of docs.
+    """The rows of ``docs``, all columns, that stay by ``decisions(doc_id, kept, text_sha256)``: one row for each kept (id, text).
 
-    Ids of which no row stays leave by an anti-join (Spark broadcasts them only if they are few). Of
-    ids that stay in part, which takes repeated ids, one row stays for each kept text.
+    Decisions come one a row or one a distinct (id, text), then with its number of rows as ``n``. Ids whose rows
+    all stay aren't touched. Ids that lose rows leave by an anti-join (Spark broadcasts them only if they are
+    few); of these the kept texts come back, each once. Null ids are one id, null texts are empty; helper
+    columns take names that ``docs`` doesn't have.
     """
-    per_id = materialise(decisions.groupBy("doc_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("kept"), 1)).alias("k")).filter("k < n"), "leaving")
-    gone = per_id.select(F.col("doc_id").alias("gone_id"))
-    stay = docs.join(gone, F.col(id_col).eqNullSafe(F.col("gone_id")), "left_anti")
-    part = per_id.filter("k > 0")
+    rows = F.col("n") if "n" in decisions.columns else F.lit(1)
+    per_id = decisions.groupBy("doc_id").agg(F.sum(rows).alias("n"), F.count(F.when(F.col("kept"), 1)).alias("k")).filter("k < n")
+    per_id = materialise(per_id, "leaving")
+    gone, sure, code, text = unused(docs, "gone", "sure", "code", "sure_text")
+    stay = docs.join(per_id.select(F.col("doc_id").alias(gone)), F.col(id_col).eqNullSafe(F.col(gone)), "left_anti")
+    part = per_id.filter("k > 0").select(F.col("doc_id").alias("part_id"))
     if part.isEmpty():
         return stay
-    sure = decisions.filter("kept").join(part.select(F.col("doc_id").alias("part_id")), F.col("doc_id").eqNullSafe(F.col("part_id")), "left_semi").select("doc_id", "text_sha256").distinct()
-    sure = sure.select(F.col("doc_id").alias("sure_id"), F.col("text_sha256").alias("sure_code"))
-    code = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    some = docs.withColumn("_code", code).join(sure, F.col(id_col).eqNullSafe(F.col("sure_id")) & (F.col("_code") == F.col("sure_code")), "left_semi")
-    return stay.unionByName(some.dropDuplicates([id_col, "_code"]).drop("_code"))
+    back = decisions.filter("kept").join(part, F.col("doc_id").eqNullSafe(F.col("part_id")), "left_semi").select(F.col("doc_id").alias(sure), F.col("text_sha256").alias(text)).distinct()
+    coded = docs.withColumn(code, F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    some = coded.join(back, F.col(id_col).eqNullSafe(F.col(sure)) & (F.col(code) == F.col(text)), "left_semi")
+    return stay.unionByName(some.dropDuplicates([id_col, code]).drop(code))

@@ -60,4 +60,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("connected components need more rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots).select(F.col("node").cast(kind), F.col("root").cast(kind))
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots).select(F.col("node").cast(kind), F.col("root").cast(kind))
+    out.shared_path = now.shared_path  # what discard() deletes when the roots have been read
+    return out

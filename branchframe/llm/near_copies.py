@@ -1,12 +1,15 @@
 """Near copies by the Jaccard similarity of word shingles: MinHash bands find pairs, the sets decide.
 
 Texts with the same set of shingles are one node. A node has a key for each of BANDS bands of ROWS
-minimum hashes; nodes that share a key are compared, by their whole sets. A pair at the similarity
-0.8 shares none of the keys with a probability of (1 - 0.8^5)^40, about one in ten million.
+minimum hashes; nodes that share a key are compared. A pair at the similarity 0.8 shares none of the
+keys with a probability of (1 - 0.8^5)^40, about one in ten million.
 
-Nodes with equal keys aren't all compared with each other: in each round one of them is, with all
-the others, and those that are in one component by then need no more comparisons. After STARS rounds
-what is still apart is compared pair by pair.
+Members of a key come to one task with a sketch: the SKETCH least hashes of their set, which is the
+whole set of most texts. All of them are compared there, by matrix products, and only a spanning
+forest of the likely links leaves the task, never all pairs. Whole sets decide every link that leaves.
+A key with more than BLOCK members is never held by one task: its members are first compared with one
+of them, and those still apart with blocks of the others. Where a sketch isn't the whole set it may
+mislead, so such pairs that are likely and still apart are all decided in a second pass.
 """
 
 from __future__ import annotations
@@ -22,11 +25,16 @@ from branchframe.llm.components import connected_components
 
 #: Words in a shingle, and the least similarity of near copies.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Keys of a node, hashes in a key, and rounds of one against the others.
-BANDS, ROWS, STARS = 40, 5, 2
+#: Keys of a node, and hashes in a key.
+BANDS, ROWS = 40, 5
+#: Hashes in a sketch, what an estimate from a cut set may be too low by (over four standard errors), members compared at once.
+SKETCH, MARGIN, BLOCK = 512, 0.08, 1024
+_COLUMNS = 4096
 
-_SHINGLED = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("text_sha256", pa.string()), ("node", pa.int64()), ("size", pa.int64()), ("keys", pa.list_(pa.int64())), ("grams", pa.binary())])
-_SHINGLED_DDL = "doc_id bigint, row bigint, text_sha256 string, node bigint, size bigint, keys array<bigint>, grams binary"
+_KEYED = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
+_KEYED_DDL = "doc_id bigint, digest binary, node bigint, keys array<bigint>"
+_SETS = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary()), ("grams", pa.binary())])
+_SETS_DDL = "node bigint, size bigint, sketch binary, grams binary"
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -57,34 +65,148 @@ def band_keys(grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def shingled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """A row for each of ``docs``, with its node, keys and set. Null texts count as empty."""
+def _node(grams: np.ndarray) -> tuple[bytes, int]:
+    held = grams.astype("<u8").tobytes()
+    return held, xxhash.xxh64_intdigest(held, 42)
+
+
+def _texts(batch: pa.RecordBatch, column: int):
+    raw, offsets = utf8_parts(batch.column(column))
+    whole = raw.tobytes()
+    return (whole[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
+
+
+def _digest(text_col: str):
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, digest of the text, node, keys) of each row of ``docs``. Null texts count as empty."""
     small_batches(docs.sparkSession, 1000, 4)
 
     def run(batches):
         for batch in tidy_after(batches):
             if not len(batch):
                 continue
-            raw, offsets = utf8_parts(batch.column(3))
-            whole = raw.tobytes()
-            sets = [shingle_set(whole[a:b], shingle) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            sets = [shingle_set(t, shingle) for t in _texts(batch, 2)]
             sizes = np.array([len(s) for s in sets], np.int64)
             keys = band_keys(np.concatenate(sets), np.cumsum(sizes) - sizes)
-            held = [s.astype("<u8").tobytes() for s in sets]
-            nodes = np.array([xxhash.xxh64_intdigest(x, 42) for x in held], np.uint64).view(np.int64)
+            nodes = np.array([_node(s)[1] for s in sets], np.uint64).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-            columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(nodes), pa.array(sizes), lists, pa.array(held, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, schema=_SHINGLED)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), lists], schema=_KEYED)
+
+    return docs.select(F.col(id_col).cast("bigint"), _digest(text_col), F.col(text_col)).mapInArrow(run, _KEYED_DDL)
+
+
+def shingle_sets(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(node, size, sketch, grams) of each row of ``texts(text)``."""
+    small_batches(texts.sparkSession, 1000, 4)
+
+    def run(batches):
+        for batch in tidy_after(batches):
+            rows = []
+            for text in _texts(batch, 0):
+                grams = shingle_set(text, shingle)
+                held, node = _node(grams)
+                rows.append((node, len(grams), (grams[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes(), held))
+            if rows:
+                nodes, sizes, sketches, grams = zip(*rows, strict=True)
+                columns = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes), pa.array(sketches, pa.binary()), pa.array(grams, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema=_SETS)
+
+    return texts.select("text").mapInArrow(run, _SETS_DDL)
+
+
+def likeness(sketches: list[np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated similarities of all sets, and whether each is exact (both sketches are whole sets).
+
+    A cut sketch holds all hashes up to its last; two sets are compared by what they have up to the lesser last.
+    """
+    n = len(sketches)
+    flat, row = np.concatenate(sketches), np.repeat(np.arange(n), [len(s) for s in sketches])
+    kinds, code, often = np.unique(flat, return_inverse=True, return_counts=True)
+    common, place = np.zeros((n, n), np.float32), np.cumsum(often > 1) - 1
+    shared = often[code] > 1
+    row, column = row[shared], place[code[shared]]
+    for first in range(0, int((often > 1).sum()), _COLUMNS):
+        here = (column >= first) & (column < first + _COLUMNS)
+        block = np.zeros((n, min(_COLUMNS, int((often > 1).sum()) - first)), np.float32)
+        block[row[here], column[here] - first] = 1
+        common += block @ block.T
+    whole = np.array([len(s) == size for s, size in zip(sketches, sizes, strict=True)])
+    if whole.all():
+        below = np.repeat(np.asarray(sizes, np.float32)[:, None], n, axis=1)
+    else:
+        last = np.array([0xFFFFFFFF if w else s[-1] for s, w in zip(sketches, whole, strict=True)], np.uint32)
+        below = np.array([np.searchsorted(s, last, "right") for s in sketches], np.float32)
+    return common / np.maximum(below + below.T - common, 1), whole[:, None] & whole[None, :]
+
+
+def forest(weight: np.ndarray) -> list[tuple[int, int]]:
+    """The heaviest spanning forest of a symmetric matrix; no link below 0, and links over 1 are there already."""
+    n = len(weight)
+    if n == 2:
+        return [(0, 1)] if 0 <= weight[0, 1] <= 1 else []
+    left, best, source = np.ones(n, bool), np.full(n, -1.0), np.zeros(n, np.int64)
+    out = []
+    for _ in range(n):
+        at = int(np.where(left, best, -2.0).argmax())
+        if 0 <= best[at] <= 1:
+            out.append((int(source[at]), at))
+        left[at] = False
+        better = weight[at] > best
+        best[better], source[better] = weight[at][better], at
+    return out
 
-    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    return docs.select(F.col(id_col).cast("bigint"), F.monotonically_increasing_id(), digest, F.col(text_col)).mapInArrow(run, _SHINGLED_DDL)
+
+def _cell_links(nodes: np.ndarray, roots: np.ndarray, sketches: list[np.ndarray], sizes: np.ndarray, similarity: float, again: bool) -> list[tuple[int, int]]:
+    """Likely links of the members of a cell: a spanning forest, and if ``again`` all between what is still apart and not exact."""
+    likely, exact = likeness(sketches, sizes)
+    good = likely >= np.where(exact, similarity - 1e-6, similarity - MARGIN)
+    same = roots[:, None] == roots[None, :]
+    if again:
+        a, b = np.nonzero(np.triu(good & ~exact & ~same, 1))
+        more = list(zip(a.tolist(), b.tolist(), strict=True))
+        good &= exact
+    else:
+        more = []
+    weight = np.where(same, 2.0, np.where(good, likely, -1.0))
+    return [(int(nodes[i]), int(nodes[j])) for i, j in [*forest(weight), *more]]
+
+
+def likely_links(cells: DataFrame, sets: DataFrame, similarity: float, again: bool) -> DataFrame:
+    """Distinct (u, v), u > v, of ``cells(cell, node, root)``; a cell has about BLOCK members at most."""
+
+    def run(batches):
+        held: list[tuple] = []
+        last = None
+
+        def done():
+            if len({r[0] for r in held}) > 1 and len({r[1] for r in held}) > 1:
+                nodes, roots, sizes = (np.array([r[i] for r in held], np.int64) for i in range(3))
+                edges = _cell_links(nodes, roots, [np.frombuffer(r[3], "<u4") for r in held], sizes, similarity, again)
+                if edges:
+                    u, v = np.array(edges, np.int64).T
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], schema=_EDGES)
+
+        for batch in tidy_after(batches):
+            for cell, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if cell != last:
+                    yield from done()
+                    held, last = [], cell
+                held.append(tuple(row))
+        yield from done()
+
+    small_batches(cells.sparkSession, 1000, 4)
+    rows = cells.join(sets.select("node", "size", "sketch"), "node").select("cell", "node", "root", "size", "sketch")
+    return rows.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(run, "u bigint, v bigint").distinct()
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Of ``pairs(u, v)`` those whose sets are similar enough."""
+    """Of ``pairs(u, v)`` those whose whole sets are similar enough."""
 
     def run(batches):
-        for batch in batches:
+        for batch in tidy_after(batches):
             near = np.zeros(len(batch), bool)
             for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 x, y = np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8")
@@ -97,71 +219,82 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(own[0], "u").join(own[1], "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
 
 
-def _pairs(met: DataFrame, similarity: float) -> DataFrame:
-    """Distinct (u, v), u > v, of rows (node, size, other, other_size) whose sizes allow the similarity."""
-    fits = F.least("size", "other_size") >= similarity * F.greatest("size", "other_size") - 1e-9
-    return met.filter((F.col("node") != F.col("other")) & fits).select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
-
-
-def _with_heads(members: DataFrame, turn: int) -> DataFrame:
-    """Members of keys that have two or more, each with one of the key's as ``other``."""
-    first = F.min(F.struct(F.xxhash64(F.lit(turn), "node", "key").alias("place"), F.col("node").alias("other"), F.col("size").alias("other_size"))).alias("head")
-    heads = members.groupBy("key").agg(first, F.count("*").alias("n")).filter("n > 1").select("key", "head.other", "head.other_size")
-    return members.join(heads, "key")
-
-
-def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (key, node, size) with their root, of keys whose members aren't all in one component."""
-    rooted = members.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    return rooted.join(mixed, "key")
-
-
-def node_links(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified (u, v) that span the components of ``members(key, node, size)``; ``sets(node, grams)`` has their sets."""
-    links = None
-    for turn in range(STARS + 1):
-        if turn < STARS:
-            met = materialise(_with_heads(members, turn), "buckets")
-            pairs = _pairs(met, similarity)
-        else:
-            a, b = members.alias("a"), members.select("key", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("root").alias("other_root"))
-            pairs = _pairs(a.join(b, "key").filter("root < other_root"), similarity)
-        found = materialise(_similar(pairs, sets, similarity), "near-links")
-        new = found if links is None else materialise(links.union(found), "near-links")
-        if links is not None:
-            discard(links, found)
-        links = new
-        if turn == STARS:
-            discard(members)
-            break
-        left = materialise(_apart(met.filter("node <> other").select("key", "node", "size"), connected_components(links)), "apart")
-        discard(met, members)
-        members = left
-        if members.isEmpty():
-            break
-    return links
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id (least id of its group), kept, text_sha256.
+def _head_pairs(members: DataFrame) -> DataFrame:
+    """Distinct (u, v), u > v: every member of a key with one of the key's."""
+    heads = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("place"), F.col("node").alias("head"))).alias("first")).select("key", "first.head")
+    return members.join(heads, "key").filter("node <> head").select(F.greatest("node", "head").alias("u"), F.least("node", "head").alias("v")).distinct()
+
+
+def _cells_apart(members: DataFrame, block: int) -> DataFrame:
+    """(cell, node, root) of ``members(key, node, root)``, of keys with two roots or more.
+
+    Members of a key's largest root aren't compared with each other. The others are dealt into blocks, which
+    meet each other and the blocks of the largest root; a cell is a pair of blocks.
+    """
+    by_root = members.groupBy("key", "root").agg(F.count("*").alias("n"))
+    largest = by_root.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("roots")).filter("roots > 1")
+    half = max(1, block // 2)
+    blocks = largest.select(
+        "key", F.col("top.root").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / half).alias("few"), F.ceil(F.col("top.n") / half).alias("many"),
+    )
+    rows = members.join(blocks, "key")
+    here = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    cell = lambda kind, a, b: F.concat_ws("/", F.col("key").cast("string"), F.lit(kind), a.cast("string"), b.cast("string")).alias("cell")
+    apart, main = rows.filter("root <> main"), rows.filter("root = main")
+    among = apart.withColumn("own", here("few")).withColumn("other", upto("few")).select(cell("a", F.least("own", "other"), F.greatest("own", "other")), "node", "root")
+    left = apart.withColumn("own", here("few")).withColumn("other", upto("many")).select(cell("m", F.col("own"), F.col("other")), "node", "root")
+    right = main.withColumn("own", here("many")).withColumn("other", upto("few")).select(cell("m", F.col("other"), F.col("own")), "node", "root")
+    return among.unionByName(left).unionByName(right)
+
+
+def node_links(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """Decided (u, v) that span the components of ``members(key, node, n)``, n of a key; ``sets`` as of shingle_sets()."""
+    small, large = members.filter(F.col("n") <= block), members.filter(F.col("n") > block)
+    first = likely_links(small.select(F.col("key").alias("cell"), "node", F.col("node").alias("root")), sets, similarity, again=False)
+    pairs = materialise(first.union(_head_pairs(large.select("key", "node"))).distinct(), "likely")
+    links = materialise(_similar(pairs, sets, similarity), "near-links")
+    discard(pairs)
+    cut = sets.filter(F.octet_length("sketch") < 4 * F.col("size")).select(F.col("node").alias("cut_node")).distinct()
+    keys = small.join(cut, F.col("node") == F.col("cut_node"), "left_semi").select("key").distinct()
+    again = large.select("key", "node").unionByName(small.join(keys, "key", "left_semi").select("key", "node"))
+    if again.isEmpty():
+        return links
+    roots = connected_components(links)
+    rooted = materialise(again.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "again")
+    discard(roots)
+    pairs = materialise(likely_links(_cells_apart(rooted, block), sets, similarity, again=True), "likely")
+    out = materialise(links.union(_similar(pairs, sets, similarity)), "near-links")
+    discard(pairs, rooted, links)
+    return out
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """One row per distinct (doc_id, text) of ``docs``: doc_id, keep_id (least id of its group), kept, text_sha256, n (rows).
 
     Rows are near copies if the Jaccard similarity of their sets of word shingles is ``similarity`` or
     more; groups are the components of that. A-Z are lower-cased, words are runs of other than ASCII
-    white space, texts without words are equal. Exactly one row of a group is kept: the one with the
-    least id, of these the one with the least digest; a null id only if the group has no other.
+    white space, texts without words (null, empty, blank) are equal. One (doc_id, text) of a group is
+    kept: the one with the least id, of these the one with the least digest; a null id only if the group
+    has no other. An empty table gives an empty one; other columns are ignored.
     """
-    rows = materialise(shingled(docs, id_col, text_col, shingle), "shingles")
-    win = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_sha256", "row")).alias("win")
-    nodes = materialise(rows.groupBy("node").agg(win, F.min("row").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys")), "nodes")
-    members = materialise(_with_heads(nodes.select("node", "size", F.explode("keys").alias("key")), 0).select("key", "node", "size"), "members")
-    reps = nodes.join(members.select("node").distinct(), "node", "left_semi").select("rep")
-    sets = materialise(rows.select("row", "node", "grams").join(reps, F.col("row") == F.col("rep")).select("node", "grams"), "sets")
-    links = node_links(members, sets, similarity)
-    rooted = nodes.join(connected_components(links).withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("node", "win", F.coalesce("root", "node").alias("root"))
+    rows = materialise(keyed(docs, id_col, text_col, shingle), "keyed")
+    ids = materialise(rows.groupBy("doc_id", "digest").agg(F.first("node").alias("node"), F.count("*").alias("n")), "ids")
+    win = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("win")
+    nodes = materialise(ids.groupBy("node").agg(win, F.min("digest").alias("rep")), "nodes")
+    spread = rows.dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
+    often = spread.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = materialise(spread.join(often, "key").select("key", "node", "n"), "members")
+    reps = nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("digest"))
+    texts = docs.select(_digest(text_col).alias("digest"), F.col(text_col).alias("text")).join(reps, "digest", "left_semi").dropDuplicates(["digest"])
+    sets = materialise(shingle_sets(texts, shingle), "sets")
+    links = node_links(members, sets, similarity, block)
+    roots = connected_components(links)
+    rooted = nodes.join(roots, "node", "left").select("node", "win", F.coalesce("root", "node").alias("root"))
     best = rooted.groupBy("root").agg(F.min("win").alias("best"))
     wins = rooted.join(best, "root").select("node", "best")
-    out = rows.join(wins, "node").select("doc_id", F.col("best.doc_id").alias("keep_id"), (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256")
+    own = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest"))
+    out = ids.join(wins, "node").select("doc_id", F.col("best.doc_id").alias("keep_id"), own.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "n")
     done = materialise(out, "near-copies")
-    discard(rows, nodes, sets, links)
+    discard(rows, ids, nodes, members, sets, links, roots)
     return done

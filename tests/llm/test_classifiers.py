@@ -14,6 +14,7 @@ from branchframe.llm import queries as q
 from branchframe.llm import toxicity as tox
 from branchframe.llm.common import slices, utf8_parts
 from tests.conftest import DATA
+from tests.llm.test_near_copies import brute_groups
 
 
 def code_length(text, samples):
@@ -113,7 +114,9 @@ def test_pipeline_stages_keep_columns_and_agree_with_operators(spark):
     ids = {r["doc_id"] for r in exact.collect()}
     assert exact.columns == docs.columns and ids == {r["doc_id"] for r in q.op6_exact_dedup(spark, DATA).filter("kept").collect()}
     near = dict(pipeline.STAGES)["near_dedup"](spark, docs, DATA)
-    assert {r["doc_id"] for r in near.collect()} == {r["component_id"] for r in q.op3_simhash(spark, DATA).collect()}
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    root = brute_groups(rows)
+    assert {r["doc_id"] for r in near.collect()} == {min(rows[k][0] for k in range(len(rows)) if root[k] == r) for r in set(root)}
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "language", "exact_dedup", "near_dedup", "packing"]
     packed = pipeline.run(spark, DATA)
     assert packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and 0 < packed.select("doc_id").distinct().count() <= len(ids)

@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from branchframe.llm.near_copies import band_keys, near_copies, shingle_set
+from branchframe.llm.near_copies import band_keys, forest, likeness, near_copies, shingle_set
 from tests.llm.test_dedup_ops import components
 
 _WORDS = [f"w{i}" for i in range(5000)]
@@ -66,3 +66,46 @@ def test_near_stage_decides_by_row(spark):
     same_id, no_ids = near_stage(spark, [(7, texts[0]), (7, copy), (7, texts[4])]), near_stage(spark, [(None, texts[0]), (None, copy), (None, texts[5])])
     assert len(same_id) == len(no_ids) == 2 and (7, texts[4]) in same_id and (None, texts[5]) in no_ids
     assert len(near_stage(spark, [(3, texts[0]), (3, texts[0]), (4, copy), (5, None), (5, "")])) == 2
+
+
+def brute_groups(rows):
+    """The least index of each row's group."""
+    sets = [{" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for _, t in rows)]
+    return components(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+
+
+def test_keys_of_many_members_and_cut_sketches_lose_no_link(spark):
+    rng = np.random.default_rng(9)
+    base = [_WORDS[k] for k in rng.integers(0, 5000, 300)]
+    rows = [(i, " ".join(edited(rng, base, int(rng.integers(0, 9))))) for i in range(80)]  # alike, some near and some not
+    for i in range(12):  # more shingles than a sketch has; similarities from 0.73 to 0.9
+        words = [_WORDS[k] for k in rng.integers(0, 5000, 900)]
+        rows += [(1000 + i, " ".join(words)), (2000 + i, " ".join(edited(rng, words, 10 + 2 * i)))]
+    root = brute_groups(rows)
+    least = {r: min(rows[k][0] for k in range(len(rows)) if root[k] == r) for r in set(root)}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for block in (8, 1024):
+        got = {r["doc_id"]: r["keep_id"] for r in near_copies(docs, block=block).collect()}
+        assert got == {i: least[r] for (i, _), r in zip(rows, root, strict=True)}
+
+
+def test_likeness_is_exact_for_whole_sets_and_the_forest_spans():
+    rng = np.random.default_rng(10)
+    sets = [np.unique(rng.integers(0, 400, 200, np.uint32)) for _ in range(30)]
+    got, exact = likeness(sets, np.array([len(s) for s in sets]))
+    assert exact.all() and all(abs(got[i, j] - len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j]))) < 1e-6 for i in range(30) for j in range(30))
+    links = forest(np.where(got > 0.33, got, -1.0))
+    every = [(i, j) for i in range(30) for j in range(i) if got[i, j] > 0.33]
+    assert components(30, links) == components(30, every) and len(links) == 30 - len(set(components(30, every)))
+
+
+def test_near_stage_with_clashing_names_and_repeats(spark):
+    rng = np.random.default_rng(11)
+    texts = [" ".join(_WORDS[k] for k in rng.integers(0, 5000, 60)) for _ in range(3)]
+    rows = [(3, texts[0], 1), (5, texts[0] + " more", 2), (5, texts[1], 3), (5, texts[1], 4), (7, texts[2], 5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, gone long")
+    for name in ("gone_id", "sure", "sure_id", "_code", "code", "n", "k", "part_id", "node", "keep_id"):
+        docs = docs.withColumn(name, docs["gone"])
+    got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == sorted([(3, texts[0]), (5, texts[1]), (7, texts[2])])
