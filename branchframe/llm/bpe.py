@@ -1,18 +1,23 @@
 """Byte-pair encoding by a pair occurrence index, and decoding.
 
-All distinct new words of a batch are laid out as one linked list of symbols. The index maps each
-mergeable pair to all its positions; active ranks are taken in ascending order, all positions of
-a rank are merged at once, and only the lists of the pairs beside them are updated. Word
-encodings are kept in a bounded table, so a word that recurs is encoded once.
+All distinct new words of a partition (of blocks of it, if it is large) are laid out as one linked list
+of symbols. The index maps each mergeable pair to all its positions; active ranks are taken in ascending
+order, all positions of a rank are merged at once, and only the lists of the pairs beside them are
+updated. Word encodings are kept in a bounded table, so a word that recurs is encoded once; words are
+found there by hashes and told apart by their letters. Long texts are read in segments.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import heapq
 import json
 import re
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from branchframe.llm.common import small_batches, tidy_after
-from branchframe.llm.words import HashIndex, WordHashes, code_points, dropped_space_pieces, folded, kept_space_pieces
+from branchframe.llm.words import WordHashes, WordTable, code_points, dropped_space_pieces, folded, kept_space_pieces, spans
 
 #: Code points handled together, and words kept by a worker.
 CHUNK, WORDS = 1 << 18, 250_000
+#: Words, letters of new words, and batches that wait at most before new words are encoded.
+BLOCK, LETTERS, BATCHES = 1 << 22, 1 << 21, 64
 _NEVER = np.int64(1 << 40)
 
 
@@ -60,17 +67,17 @@ class BpeModel:
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair of symbols; a large number where they don't merge."""
-        keys = a << 20 | b
+        keys = a.astype(np.int64) << 20 | b
         at = np.minimum(np.searchsorted(self._keys, keys), len(self._keys) - 1)
         return np.where((self._keys[at] == keys) & (a >= 0) & (b >= 0), self._ranks[at], _NEVER)
 
     def encode_words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words (bytes data[offsets[i]:offsets[i+1]], none empty) and how many each has."""
         n, final = len(data), offsets[1:] - 1
-        sym = np.empty(n + 1, np.int64)
+        sym = np.empty(n + 1, np.int32)
         sym[:n] = self.middle[data]
         sym[final], sym[n] = self.last[data[final]], -1
-        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         after[final], before[offsets[:-1]] = n, n
         index: dict[int, list[np.ndarray]] = {}
         heap: list[int] = []
@@ -94,7 +101,8 @@ class BpeModel:
                     index[r] = [own]
                     heapq.heappush(heap, r)
 
-        put(np.arange(n))
+        for at in range(0, n, 1 << 20):
+            put(np.arange(at, min(at + (1 << 20), n), dtype=np.int32))
         while heap:
             rank = heapq.heappop(heap)
             lists = index.pop(rank)
@@ -123,8 +131,35 @@ class BpeModel:
         return sym[:n][alive], total[offsets[1:]] - total[offsets[:-1]]
 
 
+_BORDER = re.compile(r"(?<=\S)[ \n]")
+
+
+def segments(text: str, most: int) -> list[str]:
+    """A text in segments of about ``most`` characters, cut where a blank or line break ends a piece: pieces never cross it."""
+    if len(text) <= most:
+        return [text]
+    out, at = [], 0
+    while len(text) - at > most and (border := _BORDER.search(text, at + most - 1)):
+        out.append(text[at : border.start()])
+        at = border.start()
+    return [*out, text[at:]]
+
+
+@dataclass
+class _Chunk:
+    """Some parts of texts: the numbers of their words, or in the end their ids and how many each part has."""
+
+    words: np.ndarray | None
+    edge: np.ndarray
+    ids: np.ndarray | None = None
+
+
 class Encoder:
-    """Encodes batches of texts; words recur, so it keeps the encodings of up to WORDS words."""
+    """Encodes batches of texts. Words are numbered as they are read, and new ones encoded for many batches together.
+
+    What is read waits until BLOCK words or LETTERS letters of new words have come, or the partition ends;
+    then one pair occurrence index covers all new words. The encodings of about WORDS words are kept.
+    """
 
     def __init__(self, path: str) -> None:
         self.model = BpeModel(path)
@@ -132,117 +167,124 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.index = HashIndex(max(4, (WORDS - 1).bit_length() + 1))
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.first, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-
-    def _keep(self, ids: np.ndarray, counts: np.ndarray) -> None:
-        words, size = self.index.size, len(counts)
+        self.table = WordTable()
+        self.ids, self.used, self.encoded = np.zeros(1 << 16, np.uint32), 0, 0
+        self.first, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+        self.open: list[_Chunk] = []
+
+    def _learn(self) -> None:
+        """Encode all words that are new, by one index."""
+        table, old = self.table, self.encoded
+        size = np.diff(table.begin[old : table.size + 1])
+        if not len(size):
+            return
+        letters = table.letters[table.begin[old] : table.begin[table.size]]
+        wide = 1 + (letters >= 0x80).astype(np.int8) + (letters >= 0x800) + (letters >= 0x10000)
+        ends = np.cumsum(wide, dtype=np.int64)[np.cumsum(size) - 1]
+        data = np.frombuffer(letters.tobytes().decode("utf-32-le").encode(), np.uint8)
+        ids, counts = self.model.encode_words(data, np.concatenate(([0], ends)))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        while words + size > len(self.first):
+        while table.size > len(self.first):
             self.first, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.first, self.count))
         self.ids[self.used : self.used + len(ids)] = ids
-        self.count[words : words + size] = counts
-        self.first[words : words + size] = self.used + np.concatenate(([0], np.cumsum(counts)[:-1]))
-        self.used += len(ids)
+        self.count[old : table.size] = counts
+        self.first[old : table.size] = self.used + np.cumsum(counts) - counts
+        self.used, self.encoded = self.used + len(ids), table.size
+
+    def _settle(self) -> None:
+        """Give everything that waits its ids; forget the words if they are too many."""
+        self._learn()
+        for chunk in self.open:
+            counts = self.count[chunk.words].astype(np.int64)
+            total = np.concatenate(([0], np.cumsum(counts)))
+            chunk.ids = self.ids[spans(self.first[chunk.words], counts)]
+            chunk.edge, chunk.words = np.diff(total[chunk.edge]), None
+        self.open = []
+        if self.table.size > WORDS:
+            self._clear()
 
-    def _look(self, texts: list[str]) -> dict:
-        """The pieces of a chunk of texts without special strings: their hashes, and the letters of those not known yet."""
-        points, begin = code_points(texts)
+    def _chunk(self, parts: list[str]) -> _Chunk:
+        points, begin = code_points(parts)
         start, end = (dropped_space_pieces if self.model.drops_space else kept_space_pieces)(points)
         hashes = self.hashes if len(points) <= CHUNK + 16 else WordHashes(len(points))
-        h, check = hashes.of(points, start, end)
-        word = self.index.find(h, check)
-        new = np.flatnonzero(word < 0)
-        _, first = np.unique(np.stack((h[new], check[new]), axis=1).view("V16").ravel(), return_index=True)
-        fresh = new[first]
-        size = (end - start)[fresh]
-        inside = np.repeat(start[fresh] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        return {"h": h, "check": check, "word": word, "edge": np.searchsorted(start, begin), "fresh": fresh, "size": size, "letters": points[inside]}
-
-    def _learn(self, chunks: list[dict]) -> None:
-        """Encode the new words of all chunks together, so that each active rank is taken once for all of them."""
-        h, check = (np.concatenate([c[k][c["fresh"]] for c in chunks]) for k in ("h", "check"))
-        if not len(h):
-            return
-        size, letters = (np.concatenate([c[k] for c in chunks]) for k in ("size", "letters"))
-        _, first = np.unique(np.stack((h, check), axis=1).view("V16").ravel(), return_index=True)
-        begin, size, h, check = (np.cumsum(size) - size)[first], size[first], h[first], check[first]
-        letters = letters[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]
-        wide = 1 + (letters >= 0x80).astype(np.int64) + (letters >= 0x800) + (letters >= 0x10000)
-        ends = np.cumsum(wide)[np.cumsum(size) - 1]
-        data = np.frombuffer(letters.tobytes().decode("utf-32-le").encode(), np.uint8)
-        self._keep(*self.model.encode_words(data, np.concatenate(([0], ends))))
-        self.index.add(h, check)
-        for c in chunks:
-            new = np.flatnonzero(c["word"] < 0)
-            c["word"][new] = self.index.find(c["h"][new], c["check"][new])
-
-    def _chunks(self, groups: list[list[str]]) -> list[dict]:
-        chunks = [self._look(texts) for texts in groups]
-        new = sum(len(c["fresh"]) for c in chunks)
-        if self.index.size and self.index.size + new > WORDS:
-            self._clear()
-            return self._chunks(groups)
-        if new > WORDS:  # texts with more words than are kept
-            self.index = HashIndex(new.bit_length() + 1)
-        self._learn(chunks)
-        return chunks
-
-    def _ids(self, chunk: dict) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a chunk of texts, and how many each text has."""
-        counts = self.count[chunk["word"]]
-        total = np.concatenate(([0], np.cumsum(counts)))
-        ids = self.ids[np.repeat(self.first[chunk["word"]] - total[:-1], counts) + np.arange(total[-1])]
-        edge = chunk["edge"]
-        return ids, total[edge[1:]] - total[edge[:-1]]
+        out = _Chunk(self.table.numbers(points, start, end, *hashes.of(points, start, end)), np.searchsorted(start, begin))
+        self.open.append(out)
+        waiting = self.table.begin[self.table.size] - self.table.begin[self.encoded]
+        if waiting >= LETTERS or self.table.size > 4 * WORDS:
+            self._settle()
+        return out
+
+    def _read(self, texts: list[str]) -> tuple[list[_Chunk], np.ndarray, list[tuple[int, int]]]:
+        """The chunks of a batch, the text of each part, and after which parts a special token stands."""
+        model, chunks, owner, marks = self.model, [], [], []
+        group: list[str] = []
+        held = 0
+        for i, text in enumerate(texts):
+            at, pieces = 0, []
+            if model.special_pattern and "<" in text:
+                for m in model.special_pattern.finditer(text):
+                    pieces.append((text[at : m.start()], model.specials[m[0]]))
+                    at = m.end()
+            for piece, special in [*pieces, (text[at:] if at else text, None)]:
+                for part in segments(piece, CHUNK):
+                    if group and held + len(part) >= CHUNK:
+                        chunks.append(self._chunk(group))
+                        group, held = [], 0
+                    group.append(folded(part) if model.drops_space else part)
+                    held += len(part) + 1
+                    owner.append(i)
+                if special is not None:
+                    marks.append((len(owner), special))
+        if group:
+            chunks.append(self._chunk(group))
+        return chunks, np.array(owner, np.int64), marks
+
+    def run(self, batches: Iterable[tuple[Any, list[str]]]) -> Iterator[tuple[Any, np.ndarray, np.ndarray]]:
+        """For each (tag, texts): the tag, ids of all texts in one array, and the n + 1 offsets of the texts in it."""
+        held: list[tuple] = []
+        for tag, texts in batches:
+            held.append((tag, len(texts), *self._read(texts)))
+            if sum(len(c.words) for c in self.open) >= BLOCK or len(held) >= BATCHES:
+                self._settle()
+            if not self.open:
+                yield from self._done(held)
+                held = []
+        self._settle()
+        yield from self._done(held)
+
+    def _done(self, held: list[tuple]) -> Iterator[tuple[Any, np.ndarray, np.ndarray]]:
+        for tag, n, chunks, owner, marks in held:
+            ids = np.concatenate([c.ids for c in chunks]) if chunks else np.empty(0, np.uint32)
+            counts = np.concatenate([c.edge for c in chunks]) if chunks else np.zeros(0, np.int64)
+            if marks:
+                ends = np.cumsum(counts)
+                ids = np.insert(ids, [ends[k - 1] for k, _ in marks], [x for _, x in marks])
+                for k, _ in marks:
+                    counts[k - 1] += 1
+            by_text = np.zeros(n + 1, np.int64)
+            np.add.at(by_text, owner + 1, counts)
+            yield tag, ids, np.cumsum(by_text)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the n + 1 offsets of the texts in it."""
-        model = self.model
-        parts, owner, marks = [], [], []
-        for i, text in enumerate(texts):
-            if model.special_pattern and "<" in text and (found := list(model.special_pattern.finditer(text))):
-                at = 0
-                for m in found:
-                    parts.append(text[at : m.start()])
-                    owner.append(i)
-                    marks.append((len(parts), model.specials[m[0]]))
-                    at = m.end()
-                text = text[at:]
-            parts.append(text)
-            owner.append(i)
-        if model.drops_space:
-            parts = list(map(folded, parts))
-        groups, at = [], 0
-        while at < len(parts):
-            upto, held = at, 0
-            while upto < len(parts) and (upto == at or held + len(parts[upto]) + 1 <= CHUNK):
-                held += len(parts[upto]) + 1
-                upto += 1
-            groups.append(parts[at:upto])
-            at = upto
-        found = [self._ids(c) for c in self._chunks(groups)]
-        out, sizes = [x for x, _ in found], [x for _, x in found]
-        ids = np.concatenate(out) if out else np.empty(0, np.uint32)
-        counts = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-        if marks:
-            ends = np.cumsum(counts)
-            ids = np.insert(ids, [ends[k - 1] for k, _ in marks], [x for _, x in marks])
-            for k, _ in marks:
-                counts[k - 1] += 1
-        by_text = np.zeros(len(texts) + 1, np.int64)
-        np.add.at(by_text, np.array(owner, np.int64) + 1, counts)
-        return ids, np.cumsum(by_text)
+        return next((ids, offsets) for _, ids, offsets in self.run([(None, texts)]))
+
+    def decoded(self, ids: np.ndarray) -> Iterator[bytes]:
+        """The tokens' strings in parts, joined as the vocabulary file asks for (byte-level letters are undone by a decoder)."""
+        joiner, tokens, step = self.model.joiner, self.model.tokens, 1 << 16
+        if joiner:
+            for at in range(0, len(ids), step):
+                yield (joiner if at else b"") + joiner.join(map(tokens.__getitem__, ids[at : at + step].tolist()))
+            return
+        back = {c: b for b, c in enumerate(byte_letters())}
+        decoder = codecs.getincrementaldecoder("utf-8")("replace")
+        for at in range(0, len(ids), step):
+            joined = b"".join(map(tokens.__getitem__, ids[at : at + step].tolist())).decode()
+            yield decoder.decode(bytes(map(back.__getitem__, joined)), at + step >= len(ids)).encode()
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """The tokens' strings, joined as the vocabulary file asks for (byte-level letters are undone by a decoder)."""
-        joined = self.model.joiner.join(map(self.model.tokens.__getitem__, ids.tolist()))
-        if self.model.joiner:
-            return joined
-        back = {c: b for b, c in enumerate(byte_letters())}
-        return bytes(back[c] for c in joined.decode()).decode("utf-8", "replace").encode()
+        return b"".join(self.decoded(ids))
 
 
 @lru_cache(maxsize=2)
@@ -266,14 +308,16 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches):
         own = encoder(path)
-        for batch in tidy_after(batches):
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            ids, offsets = own.encode(texts)
-            ids = ids.astype("<u4")
+        read = ((batch.column(0), [x or "" for x in batch.column(1).to_pylist()]) for batch in tidy_after(batches))
+        for doc_ids, ids, offsets in own.run(read):
+            ids = ids.astype("<u4", copy=False)
             codes, back = [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 codes.append(hashlib.sha256(ids[a:b]).hexdigest())
-                back.append(hashlib.sha256(own.decode(ids[a:b])).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(codes), pa.array(back)], schema=_ROUND_TRIP_ARROW)
+                text = hashlib.sha256()
+                for part in own.decoded(ids[a:b]):
+                    text.update(part)
+                back.append(text.hexdigest())
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(np.diff(offsets)), pa.array(codes, pa.string()), pa.array(back, pa.string())], schema=_ROUND_TRIP_ARROW)
 
     return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, _ROUND_TRIP)

@@ -47,12 +47,10 @@ def tokenised_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0,
     small_batches(docs.sparkSession, 1000, 4)
 
     def run(batches):
-        own = encoder(path)
-        for batch in tidy_after(batches):
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            ids, offsets = own.encode(texts)
+        read = (((batch.column(0).to_pylist(), batch.column(2).to_pylist()), [x or "" for x in batch.column(1).to_pylist()]) for batch in tidy_after(batches))
+        for (docs_here, rows_here), ids, offsets in encoder(path).run(read):
             rows = []
-            for k, (doc, row) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            for k, (doc, row) in enumerate(zip(docs_here, rows_here, strict=True)):
                 all_ids = np.append(ids[offsets[k] : offsets[k + 1]], np.uint32(end_id)).astype("<u4")
                 for piece, (start, length) in enumerate(cut(len(all_ids), capacity)):
                     rows.append((doc, piece, start, length, zlib.crc32(all_ids[start : start + length].tobytes()), row))

@@ -103,7 +103,7 @@ def folded(text: str) -> str:
 
 
 class WordHashes:
-    """Two independent 64-bit polynomial hashes of any [start, end) of an array of code points."""
+    """Two 64-bit polynomial hashes of any [start, end) of an array of code points; different words may share both."""
 
     def __init__(self, longest: int) -> None:
         self.power, self.inverse = [], []
@@ -129,15 +129,27 @@ class WordHashes:
         return found[0] | np.uint64(1), found[1]
 
 
-class HashIndex:
-    """Open addressing from pairs of 64-bit hashes to 0, 1, 2, ... in the order of insertion."""
+def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of the spans [start, start + size), one after the other."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
 
-    def __init__(self, bits: int) -> None:
-        self.mask, self.size = np.uint64((1 << bits) - 1), 0
+
+class WordTable:
+    """Distinct words, numbered as they come: found by a pair of hashes, told apart by their letters.
+
+    Words whose hashes are another word's are kept by their letters alone, so numbers don't depend on hashes.
+    """
+
+    def __init__(self, bits: int = 12) -> None:
+        self.letters, self.begin, self.size = np.zeros(1 << 14, np.uint32), np.zeros(1 << 12, np.int64), 0
+        self.odd: dict[bytes, int] = {}
+        self._slots(bits)
+
+    def _slots(self, bits: int) -> None:
+        self.mask, self.used = np.uint64((1 << bits) - 1), 0
         self.key, self.check, self.value = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
 
-    def find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
-        """The value of each pair, -1 where there is none."""
+    def _find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
         out = np.full(len(h), -1, np.int32)
         rest, slot = np.arange(len(h)), (h >> np.uint64(20)) & self.mask
         while len(rest):
@@ -148,9 +160,13 @@ class HashIndex:
             rest, slot = rest[on], (slot[on] + np.uint64(1)) & self.mask
         return out
 
-    def add(self, h: np.ndarray, check: np.ndarray) -> None:
-        """Insert distinct pairs that are not there."""
-        value = np.arange(self.size, self.size + len(h), dtype=np.int32)
+    def _enter(self, h: np.ndarray, check: np.ndarray, value: np.ndarray) -> None:
+        """Distinct pairs of hashes that aren't there; the slots double while over half are taken."""
+        bits = int(self.mask).bit_length()
+        if 2 * (self.used + len(h)) > 1 << bits:
+            there = np.flatnonzero(self.key)
+            h, check, value = (np.concatenate((old[there], new)) for old, new in ((self.key, h), (self.check, check), (self.value, value)))
+            self._slots(max(bits + 1, (2 * len(h)).bit_length()))
         rest, slot = np.arange(len(h)), (h >> np.uint64(20)) & self.mask
         while len(rest):
             free = np.flatnonzero(self.key[slot] == 0)
@@ -160,4 +176,46 @@ class HashIndex:
             on = np.ones(len(rest), bool)
             on[won] = False
             rest, slot = rest[on], (slot[on] + np.uint64(1)) & self.mask
-        self.size += len(h)
+        self.used += len(h)
+
+    def _append(self, letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Numbers of new words, whose letters are kept."""
+        at, upto = self.begin[self.size], self.begin[self.size] + len(letters)
+        while upto > len(self.letters):
+            self.letters = np.concatenate((self.letters, np.zeros_like(self.letters)))
+        while self.size + len(sizes) >= len(self.begin):
+            self.begin = np.concatenate((self.begin, np.zeros_like(self.begin)))
+        self.letters[at:upto] = letters
+        numbers = np.arange(self.size, self.size + len(sizes), dtype=np.int32)
+        self.begin[numbers + 1] = at + np.cumsum(sizes)
+        self.size += len(sizes)
+        return numbers
+
+    def _unlike(self, points: np.ndarray, start: np.ndarray, size: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Which of the words have other letters than the words of their numbers."""
+        out = self.begin[word + 1] - self.begin[word] != size
+        same = np.flatnonzero(~out)
+        n = size[same]
+        wrong = points[spans(start[same], n)] != self.letters[spans(self.begin[word[same]], n)]
+        if wrong.any():
+            out[np.repeat(same, n)[wrong]] = True
+        return out
+
+    def numbers(self, points: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The number of each word points[start:end]; words not seen before get the next ones."""
+        size, out = end - start, self._find(h, check)
+        known, new = np.flatnonzero(out >= 0), np.flatnonzero(out < 0)
+        odd = known[self._unlike(points, start[known], size[known], out[known])]
+        if len(new):
+            _, first = np.unique(np.stack((h[new], check[new]), axis=1).view("V16").ravel(), return_index=True)
+            fresh = new[first]
+            self._enter(h[fresh], check[fresh], self._append(points[spans(start[fresh], size[fresh])], size[fresh]))
+            out[new] = self._find(h[new], check[new])
+            odd = np.concatenate((odd, new[self._unlike(points, start[new], size[new], out[new])]))
+        for i in odd.tolist():
+            letters = points[start[i] : end[i]]
+            word = letters.tobytes()
+            if word not in self.odd:
+                self.odd[word] = int(self._append(letters, size[i : i + 1])[0])
+            out[i] = self.odd[word]
+        return out
