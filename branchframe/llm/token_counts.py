@@ -9,9 +9,9 @@ to the start state after a word's last byte. States are determinised on demand,
 are, and kept by each worker up to a bound.
 
 A batch is cut into chunks of equal length that are run in lock step, one array operation for each
-step. A chunk's state map is constant after its first word end, whatever state it is entered in,
-so the bodies run first; a prefix scan over the maps gives every chunk's entry state, and then the
-heads run. A chunk without any word end passes its map on.
+step. A chunk's state map is constant if a word ends in it, whatever state it is entered in, so the
+bodies run first; other chunks' maps are tables. A prefix scan composes the maps, which gives every
+chunk's entry state, and then the heads run. Long texts are read in segments.
 """
 
 from __future__ import annotations
@@ -23,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from branchframe.llm.bpe import BpeModel
+from branchframe.llm.bpe import BpeModel, segments
 from branchframe.llm.common import row_sums, small_batches, tidy_after
-from branchframe.llm.words import code_points, dropped_space_pieces, folded
+from branchframe.llm.words import code_points, dropped_space_pieces, folded, spans
 
-#: Steps of a chunk, code points handled together, states kept by a worker.
+#: Steps of a chunk, code points handled together, states kept by a worker, symbols after which states may be forgotten.
 STEPS, CHUNK, STATES = 192, 1 << 18, 70_000
+BLOCK = STEPS * 1024
 END = 256
 
 
@@ -89,10 +90,13 @@ class CountTransducer:
             tuple(x if o else -2 for x, o in zip((*last, token)[-width:], open_at, strict=True)),
             tuple(c - change if o else 0 for c, o in zip((*count, change)[-width:], open_at, strict=True)),
         )
+        return self._number(key), change
+
+    def _number(self, key: tuple) -> int:
         if key not in self.ids:
             self.ids[key] = len(self.states)
             self.states.append(key)
-        return self.ids[key], change
+        return self.ids[key]
 
     def _compile(self, states: np.ndarray, symbols: np.ndarray) -> None:
         for state, symbol in {(int(a), int(b)) for a, b in zip(states, symbols, strict=True)}:
@@ -110,50 +114,109 @@ class CountTransducer:
             move = self.moves.ravel().take(state * self.moves.shape[1] + column)
         return move
 
-    def changes(self, symbols: np.ndarray) -> np.ndarray:
-        """The annotation of every transition that the symbols take; the last one must be a word end."""
-        n = len(symbols)
-        if not n:
-            return np.zeros(0, np.int16)
-        if len(self.states) > STATES:
-            self._clear()
+    def _columns(self, symbols: np.ndarray) -> None:
         used = np.unique(symbols)
         fresh = used[~self.known[used]]
         self.column[fresh], self.known[fresh] = self.columns + np.arange(len(fresh)), True
         self.columns += len(fresh)
         while self.columns > self.moves.shape[1]:
             self.moves = np.concatenate((self.moves, np.full((len(self.moves), 32), -1, np.int32)), axis=1)
+
+    def changes(self, symbols: np.ndarray) -> np.ndarray:
+        """The annotation of every transition that the symbols take; the last one must be a word end.
+
+        Blocks follow each other, so that states can be forgotten between them: all but the one reached.
+        """
+        out, entry = [np.zeros(0, np.int64)], 0
+        for at in range(0, len(symbols), BLOCK):
+            if len(self.states) > STATES:
+                here = self.states[entry]
+                self._clear()
+                entry = self._number(here)
+            block = symbols[at : at + BLOCK]
+            self._columns(block)
+            found, entry = self._block(block, entry)
+            out.append(found)
+        return np.concatenate(out)
+
+    def _run(self, steps: np.ndarray, columns: np.ndarray, lanes: np.ndarray, state: np.ndarray, upto: np.ndarray | None = None, out: np.ndarray | None = None) -> np.ndarray:
+        """The states of lanes (columns of ``steps``) after all symbols, or the first ``upto`` of each; moves go to ``out``."""
+        state = state.copy()
+        for t in range(len(steps) if upto is None else int(upto.max(initial=0))):
+            on = slice(None) if upto is None else np.flatnonzero(upto > t)
+            lane = lanes[on]
+            move = self._advance(state[on], steps[t, lane], columns[t, lane])
+            state[on] = move >> 8
+            if out is not None:
+                out[t, lane] = move
+        return state
+
+    def _block(self, symbols: np.ndarray, entry: int) -> tuple[np.ndarray, int]:
+        n = len(symbols)
         lanes = -(-n // STEPS)
         padded = np.full(lanes * STEPS, symbols[-1], symbols.dtype)
         padded[:n] = symbols
         steps = np.ascontiguousarray(padded.reshape(lanes, STEPS).T)
-        columns = self.column[steps]
-        ends = steps >= END
-        head = np.where(ends.any(axis=0), ends.argmax(axis=0) + 1, STEPS)  # symbols up to the first word end
-        out = np.empty((STEPS, lanes), np.int32)
-        state = np.zeros(lanes, np.int64)
-        for t in range(STEPS):  # all from the start state: right from the first word end on
-            out[t] = move = self._advance(state, steps[t], columns[t])
-            state = (move >> 8).astype(np.int64)
-        # The scan: a chunk with a word end has a constant map, so the next one's entry state is known.
+        columns, ends, every = self.column[steps], steps >= END, np.arange(lanes)
         constant = ends.any(axis=0)
-        entry = np.where(np.append(True, constant[:-1]), np.append(0, state[:-1]), -1)
-        todo = np.flatnonzero(entry > 0)  # entered in the start state: right already, but its map may have to be passed on
-        on = np.flatnonzero((entry == 0) & ~constant)
-        on = on[on + 1 < lanes]
-        entry[on + 1] = state[on]
-        todo = np.union1d(todo, on[entry[on + 1] > 0] + 1) if len(on) else todo
-        while len(todo):
-            now = entry[todo]
-            for t in range(int(head[todo].max())):
-                on = np.flatnonzero(head[todo] > t)
-                lane = todo[on]
-                out[t, lane] = move = self._advance(now[on], steps[t, lane], columns[t, lane])
-                now[on] = move >> 8
-            passed = ~constant[todo] & (todo + 1 < lanes)
-            entry[todo[passed] + 1] = now[passed]
-            todo = todo[passed] + 1
-        return (out.T.ravel()[:n] & 255) - 128
+        head = np.where(constant, ends.argmax(axis=0) + 1, STEPS)  # symbols up to the first word end
+        out = np.empty((STEPS, lanes), np.int32)
+        begin = np.zeros(lanes, np.int64)
+        begin[0] = entry
+        after = self._run(steps, columns, every, begin, out=out)  # right from the first word end on
+        entries = self._entries(steps, columns, constant, begin, after)
+        wrong = np.flatnonzero(entries != begin)
+        state = self._run(steps, columns, wrong, entries[wrong], head[wrong], out)
+        after[wrong[~constant[wrong]]] = state[~constant[wrong]]
+        return (out.T.ravel()[:n] & 255).astype(np.int64) - 128, int(after[-1])
+
+    def _entries(self, steps: np.ndarray, columns: np.ndarray, constant: np.ndarray, begin: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """The state that each chunk is entered in, by a prefix scan over the chunks' state maps.
+
+        The map of a chunk with a word end is constant. That of another is a table of the states it may be
+        entered in: those its predecessor's map leads to. The tables of all chunks grow together until nothing
+        is new, which takes few rounds, as what was read decides a state more than where it began.
+        """
+        lanes = len(begin)
+        lane, state, to = np.arange(lanes), begin, after
+        fresh = np.arange(lanes)
+        while len(fresh):
+            follows = fresh[lane[fresh] + 1 < lanes]
+            follows = follows[~constant[lane[follows] + 1]]
+            codes = np.unique((lane[follows] + 1) << 32 | to[follows])
+            codes = codes[~np.isin(codes, lane << 32 | state)]
+            fresh = len(lane) + np.arange(len(codes))
+            new_lane, new_state = codes >> 32, codes & 0xFFFFFFFF
+            new_to = self._run(steps, columns, new_lane, new_state) if len(codes) else codes
+            lane, state, to = np.concatenate((lane, new_lane)), np.concatenate((state, new_state)), np.concatenate((to, new_to))
+        return scan(lane, state, to, constant, int(begin[0]))
+
+
+def scan(lane: np.ndarray, state: np.ndarray, to: np.ndarray, constant: np.ndarray, entry: int) -> np.ndarray:
+    """Entry states of all chunks from their maps, rows (lane, state, to): maps are composed by doubling.
+
+    A row points at the row of the next chunk's map that it leads to; the composition of two maps is one
+    pointer after the other. Rows that nothing leads on from point at themselves.
+    """
+    lanes = len(constant)
+    order = np.argsort(lane << 32 | state)
+    codes = (lane << 32 | state)[order]
+    own = np.arange(len(lane))
+    wanted = (lane + 1) << 32 | to
+    at = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
+    jump = np.where((codes[at] == wanted) & (lane + 1 < lanes), order[at], own)
+    row_of = order[np.searchsorted(codes, np.arange(lanes) << 32 | np.where(np.arange(lanes) == 0, entry, 0))]  # entered in the start state
+    reset = np.append(True, constant[:-1])  # the chunk before is constant: its one exit is the entry
+    first = np.maximum.accumulate(np.where(reset, np.arange(lanes), 0))
+    seed = np.where(first > 0, to[row_of[np.maximum(first - 1, 0)]], entry)
+    row = order[np.minimum(np.searchsorted(codes, first << 32 | seed), len(codes) - 1)]  # a table has its first entry
+    far = np.arange(lanes) - first
+    hops = np.maximum(far - 1, 0)
+    for bit in range(int(hops.max(initial=0)).bit_length()):
+        on = hops >> bit & 1 == 1
+        row[on] = jump[row[on]]
+        jump = jump[jump]
+    return np.where(far == 0, seed, to[row])
 
 
 @lru_cache(maxsize=2)
@@ -174,8 +237,10 @@ def count_tokens(path: str, texts: list[str]) -> np.ndarray:
         if model.special_pattern and "<" in text:
             split = model.special_pattern.split(text)
             counts[i] = len(split) - 1
-        parts += map(folded, split)
-        owner += [i] * len(split)
+        for part in split:
+            for segment in segments(part, CHUNK):
+                parts.append(folded(segment))
+                owner.append(i)
     at = 0
     while at < len(parts):
         upto, held = at, 0
@@ -185,8 +250,7 @@ def count_tokens(path: str, texts: list[str]) -> np.ndarray:
         points, begin = code_points(parts[at:upto])
         start, end = dropped_space_pieces(points)
         size = end - start
-        inside = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-        letters = points[inside]
+        letters = points[spans(start, size)]
         wide = 1 + (letters >= 0x80).astype(np.int64) + (letters >= 0x800) + (letters >= 0x10000)
         upto_byte = np.concatenate(([0], np.cumsum(wide)))
         symbols = np.frombuffer(letters.tobytes().decode("utf-32-le").encode(), np.uint8).astype(np.int64)
