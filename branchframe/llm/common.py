@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from branchframe.sources.shipping import ship
 
+#: Rows and bytes of an Arrow batch at most (a longer row is a batch of its own).
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, read by Spark (any file system it knows)."""
@@ -22,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; a temporary one where that is unset and Spark is local (tests)."""
     known = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("branchframe.shared.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = tempfile.mkdtemp(prefix="branchframe-shared-")
         spark.conf.set("branchframe.shared.dir", known)
     return known.rstrip("/")
@@ -75,15 +80,40 @@ def hash_sample(rows: DataFrame, group_col: str, id_col: str, most: int, groups:
     return some.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("id", "group", "rank")
 
 
-def small_batches(spark: SparkSession, rows: int = 2000, megabytes: int = 16) -> None:
-    """Bound the Arrow batches that Python workers see by rows and, where Spark can, by bytes; ship the package."""
+def hash_top(rows: DataFrame, id_col: str, most: int) -> DataFrame:
+    """(id, place): the ``most`` rows that come first by a hash of the id; each task keeps its own first ones, the driver merges them."""
+    place = F.shiftrightunsigned(F.xxhash64(id_col), 11) / F.lit(float(1 << 53))
+    return rows.select(F.col(id_col).alias("id"), place.alias("place")).filter("id is not null").orderBy("place", "id").limit(most)
+
+
+def bounded_rows(rows: DataFrame, order: list[str], most_bytes: int) -> list:
+    """Collected rows with a binary column ``text``, first ones in order first, of ``most_bytes`` together at most.
+
+    Sizes come to the driver first; texts only of the rows that fit. ``rows`` hold a bounded sample of ids, and of rows
+    that repeat one only the least text counts.
+    """
+    rows = rows.groupBy(*order).agg(F.min("text").alias("text"))
+    sizes = sorted(tuple(r) for r in rows.select(*order, F.octet_length("text")).collect())
+    upto = int(np.searchsorted(np.cumsum([x[-1] for x in sizes]), most_bytes, "right"))
+    if upto < len(sizes):
+        if not upto:
+            return []
+        rows = rows.filter(F.struct(*order) <= F.struct(*[F.lit(x).cast(rows.schema[c].dataType).alias(c) for c, x in zip(order, sizes[upto - 1], strict=False)]))
+    return sorted(rows.collect(), key=lambda r: tuple(r[c] for c in order))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that Python workers see by rows and, where Spark can, by bytes; ship the package.
+
+    All operators use the same bounds: plans are lazy, so the last setting would hold for all of them.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     try:
         spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
     except Exception:  # noqa: BLE001  a Spark without this setting
         return
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def tidy_after(batches: Iterator) -> Iterator:

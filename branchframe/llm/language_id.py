@@ -24,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from branchframe.llm.common import hash_sample, id_crc, slices, small_batches, tidy_after, utf8_parts
+from branchframe.llm.common import bounded_rows, hash_sample, id_crc, slices, small_batches, tidy_after, utf8_parts
 
-#: Bytes of context; bounds of the sample: documents of a language, characters of a document, languages, documents in all.
-ORDER, SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES, SAMPLE_ALL = 4, 400, 16_384, 400, 8_000
+#: Bytes of context; bounds of the sample: documents of a language, characters of a document, languages, documents and bytes in all.
+ORDER, SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES, SAMPLE_ALL, SAMPLE_BYTES = 4, 400, 16_384, 400, 8_000, 64 << 20
 UNKNOWN = "und"
-#: Bits a byte from which a text is in none of the learned languages: more than letters at random need.
-FOREIGN_BITS = 6.0
+#: A text is in none of the learned languages if it takes FOREIGN_BITS bits a byte (more than letters at random need) and
+#: FOREIGN_MARGIN more than any labelled text of FOREIGN_BYTES or more took under models of other sample texts.
+FOREIGN_BITS, FOREIGN_MARGIN, FOREIGN_BYTES = 6.0, 1.0, 32
 _BATCH = 1 << 18
 
 
@@ -111,6 +112,7 @@ class LanguageModel:
     lengths: list[np.ndarray]
     contexts: list[np.ndarray]
     escapes: list[np.ndarray]
+    foreign: float = FOREIGN_BITS
 
     def __post_init__(self) -> None:
         self._tables: list | None = None
@@ -199,16 +201,33 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit on a bounded sample of rows with a language, outside the held-out fold (crc32 of the id mod 4 is 2).
 
     Of each language the SAMPLE_DOCS rows that come first by a hash of the id, of SAMPLE_CHARS at most;
-    with many languages fewer of each, SAMPLE_ALL together.
+    with many languages fewer of each, SAMPLE_ALL together, of SAMPLE_BYTES together.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     own = own.filter((id_crc("doc_id") % 4 != 2) & F.col("lang").isNotNull() & (F.length("text").between(1, SAMPLE_CHARS)))
     picked = hash_sample(own, "lang", "doc_id", SAMPLE_DOCS, LANGUAGES).groupBy(F.col("id").alias("picked_id")).agg(F.min("rank").alias("rank"))
     picked = picked.orderBy("rank", "picked_id").limit(SAMPLE_ALL)
     samples: dict[str, list] = {}
-    for row in own.join(F.broadcast(picked), own["doc_id"] == picked["picked_id"]).select("lang", "rank", F.col("text").cast("binary").alias("text")).collect():
-        samples.setdefault(row["lang"], []).append((row["rank"], bytes(row["text"])))
-    return train_on({k: [t for _, t in sorted(v)[:SAMPLE_DOCS]] for k, v in samples.items()})
+    rows = own.join(F.broadcast(picked), own["doc_id"] == picked["picked_id"]).select("lang", "rank", "picked_id", F.col("text").cast("binary").alias("text"))
+    for row in bounded_rows(rows, ["rank", "picked_id", "lang"], SAMPLE_BYTES):
+        samples.setdefault(row["lang"], []).append(bytes(row["text"]))
+    samples = {k: v[:SAMPLE_DOCS] for k, v in samples.items()}
+    model = train_on(samples)
+    model.foreign = foreign_bits(samples)
+    return model
+
+
+def foreign_bits(samples: dict[str, list[bytes]]) -> float:
+    """Bits a byte from which a text is foreign, from each half of the sample under the models of the other."""
+    most = FOREIGN_BITS - FOREIGN_MARGIN
+    for half in range(2):
+        known, rest = ({k: [t for i, t in enumerate(v) if i % 2 == (half ^ side)] for k, v in samples.items()} for side in range(2))
+        texts = [t for v in rest.values() for t in v if len(t) >= FOREIGN_BYTES]
+        if texts and any(known.values()):
+            sizes = np.array([len(t) for t in texts], np.int64)
+            bits = train_on({k: v for k, v in known.items() if v}).code_lengths(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum(sizes))))
+            most = max(most, float((bits.min(axis=1) / sizes).max()))
+    return most + FOREIGN_MARGIN
 
 
 def predict(model: LanguageModel, raw: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -246,7 +265,7 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     each row in; other columns are ignored. A null id is neither learned from nor held out.
     """
     spark = docs.sparkSession
-    small_batches(spark, 1000, 4)
+    small_batches(spark)
     model = spark.sparkContext.broadcast(zlib.compress(pickle.dumps(train(docs, id_col, text_col, lang_col)), 1))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 
@@ -263,11 +282,13 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs``, all columns, whose text is in a learned language.
 
-    Null texts, texts without a letter, and texts that take FOREIGN_BITS bits a byte or more under
-    every language go. If no language can be learned, all rows stay that have a letter.
+    Null texts, texts without a letter, and texts that take as many bits a byte under every language as
+    foreign text does (foreign_bits()) go. If no language can be learned, all rows stay that have a letter.
+    Each row is decided by its own text: repeated rows and ids all stay or all go, null ids too. Columns of
+    any other name pass through; an empty table gives an empty one.
     """
     spark = docs.sparkSession
-    small_batches(spark, 1000, 4)
+    small_batches(spark)
     model = spark.sparkContext.broadcast(zlib.compress(pickle.dumps(train(docs, id_col, text_col, lang_col)), 1))
     at = docs.columns.index(text_col)
 
@@ -278,6 +299,6 @@ def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             unknown = [x == UNKNOWN for x in languages]
             if not own.languages:
                 unknown = [not any(map(str.isalpha, x or "")) for x in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(~np.array(unknown, bool) & (bits < FOREIGN_BITS)))
+            yield batch.filter(pa.array(~np.array(unknown, bool) & (bits < own.foreign)))
 
     return docs.mapInArrow(run, docs.schema)

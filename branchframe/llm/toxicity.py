@@ -1,12 +1,12 @@
 """Toxicity by compression distance: one zstandard dictionary of ordinary text, one of toxic text.
 
-Training uses a bounded sample of labelled documents. The ordinary dictionary is trained on windows of
-clean documents. The toxic dictionary is the same, with the fragments in front that toxic documents
-hold significantly more often (a likelihood ratio over documents), the most telling ones last, where
-references are shortest. Every window of a text, about WINDOW bytes cut at white space, is compressed
-with both; where the toxic dictionary saves bytes, the window resembles toxic text. How many windows
-save how much, calibrated by logistic regression on sample documents that neither dictionary saw,
-gives the score.
+Training uses a bounded sample of labelled documents. Zstandard trains one dictionary on windows of clean
+documents, and another one on windows of toxic documents, cut tight around what these hold
+significantly more often (a likelihood ratio over documents): most of a toxic document is ordinary
+text. Every window of a text, about WINDOW bytes cut at white space, is compressed with the ordinary
+dictionary alone and with the toxic one before it; where that saves bytes, the window resembles toxic
+text. How many windows save how much, calibrated by logistic regression on sample documents that
+neither dictionary saw, gives the score.
 """
 
 from __future__ import annotations
@@ -24,12 +24,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from branchframe.llm.common import hash_sample, id_crc, small_batches, tidy_after, utf8_parts
+from branchframe.llm.common import bounded_rows, hash_top, id_crc, small_batches, tidy_after, utf8_parts
 
-#: Bytes of a window, of the ordinary dictionary and at most of the toxic fragments; the level of compression.
+#: Bytes of a window and of each dictionary at most; the level of compression.
 WINDOW, ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 72, 96 << 10, 16 << 10, 9
-#: Bounds of the labelled sample: documents of each kind, and characters of a document in it.
-TOXIC_DOCS, CLEAN_DOCS, SAMPLE_CHARS = 1800, 4500, 16_384
+#: Segment and match sizes that zstandard's trainer looks for in ordinary and in toxic windows.
+ORDINARY_SEGMENTS, TOXIC_SEGMENTS = (40, 6), (48, 8)
+#: Bounds of the labelled sample: documents of each kind, characters of a document, bytes of each kind.
+TOXIC_DOCS, CLEAN_DOCS, SAMPLE_CHARS, SAMPLE_BYTES = 1800, 4500, 16_384, 48 << 20
 #: Shortest fragment in bytes; fragments that may look telling by chance, of all that are tried.
 FRAGMENT, CHANCE = 4, 1.0
 STEPS = (1, 2, 3, 4, 6)
@@ -122,8 +124,8 @@ def _ratio(a: int, b: int, n: int, m: int) -> float:
     return g if a * m > b * n else -g
 
 
-def telling_fragments(toxic: list[bytes], clean: list[bytes]) -> bytes:
-    """The toxic dictionary's own content, the most telling fragment last."""
+def telling_fragments(toxic: list[bytes], clean: list[bytes]) -> set[bytes]:
+    """Fragments that toxic documents hold more often than chance explains."""
     seen: Counter = Counter()
     for text in toxic:
         seen.update(_fragments(text))
@@ -132,23 +134,33 @@ def telling_fragments(toxic: list[bytes], clean: list[bytes]) -> bytes:
     for text in clean:
         others.update(f for f in _fragments(text) if f in seen)
     telling = 2 * math.log(max(2.0, len(seen) / CHANCE))  # the chance of a larger G is about exp(-G / 2)
-    ranked = sorted(((g, f) for f, a in seen.items() if (g := _ratio(a, others[f], len(toxic), len(clean))) >= telling), reverse=True)
-    kept: list[bytes] = []
-    held = b""
-    for _, fragment in ranked:
-        if fragment not in held and len(held) + len(fragment) <= TOXIC_BYTES:
-            kept.append(fragment)
-            held += fragment
-    return b"".join(reversed(kept))
+    return {f for f, a in seen.items() if _ratio(a, others[f], len(toxic), len(clean)) >= telling}
+
+
+def tight_windows(texts: list[bytes], fragments: set[bytes]) -> list[bytes]:
+    """Every place of a fragment in the texts, the longest fragment that stands there."""
+    if not fragments:
+        return []
+    places = re.compile(b"|".join(map(re.escape, sorted(fragments, key=lambda f: (-len(f), f)))))
+    return [m[0] for t in texts for m in places.finditer(b" " + b" ".join(t.decode("utf-8", "replace").lower().encode().split()) + b" ")]
+
+
+def _dictionary(samples: list[bytes], size: int, segments: tuple[int, int]) -> bytes:
+    """A dictionary that zstandard trains on the samples; too few to train on are the dictionary themselves."""
+    k, d = segments
+    try:
+        return zstandard.train_dictionary(size, samples, k=k, d=d, level=LEVEL).as_bytes()[-size:]
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:] or b"        "
 
 
 def _ordinary(clean: list[bytes]) -> bytes:
     samples = [w for text in clean for w in windows(text)]
-    samples = samples[:: max(1, len(samples) // 60_000)]
-    try:
-        return zstandard.train_dictionary(ORDINARY_BYTES, samples, k=40, d=6, level=LEVEL).as_bytes()[-ORDINARY_BYTES:]
-    except zstandard.ZstdError:  # too few samples to train on: they are the dictionary
-        return b"".join(samples)[-ORDINARY_BYTES:] or b"        "
+    return _dictionary(samples[:: max(1, len(samples) // 60_000)], ORDINARY_BYTES, ORDINARY_SEGMENTS)
+
+
+def _toxic(toxic: list[bytes], clean: list[bytes]) -> bytes:
+    return _dictionary(tight_windows(toxic, telling_fragments(toxic, clean)), TOXIC_BYTES, TOXIC_SEGMENTS)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,30 +176,31 @@ def fit(toxic: list[bytes], clean: list[bytes]) -> ToxicityModel:
     """Two of three documents go to the dictionaries, the rest to the calibration."""
     toxic, clean = _unlike(toxic), _unlike(clean)
     mined = [[t for i, t in enumerate(x) if i % 3 != 2] for x in (toxic, clean)]
-    held = telling_fragments(*mined)
     ordinary = _ordinary(mined[1])
+    both = _toxic(*mined) + ordinary
     rest = [(t, 1.0) for t in toxic[2::3]] + [(t, 0.0) for t in clean[2::3]]
     width = 2 * len(STEPS) + 4
     if not toxic[2::3] or not clean[2::3]:
         sure = 8.0 if toxic and not clean else -8.0
-        return ToxicityModel(ordinary, held + ordinary, np.zeros(width), np.ones(width), np.append(np.zeros(width), sure))
-    x = np.array([features(savings(t, ordinary, held + ordinary)) for t, _ in rest])
-    return ToxicityModel(ordinary, held + ordinary, *_logistic(x, np.array([y for _, y in rest])))
+        return ToxicityModel(ordinary, both, np.zeros(width), np.ones(width), np.append(np.zeros(width), sure))
+    x = np.array([features(savings(t, ordinary, both)) for t, _ in rest])
+    return ToxicityModel(ordinary, both, *_logistic(x, np.array([y for _, y in rest])))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """Fit on a bounded sample of labelled rows outside the held-out fold (crc32 of the id mod 5 is 0).
 
     The sample takes the rows of each label that come first by a hash of the id: TOXIC_DOCS and
-    CLEAN_DOCS at most, of SAMPLE_CHARS at most. Its ids are few, so they are broadcast.
+    CLEAN_DOCS at most, of SAMPLE_CHARS at most, SAMPLE_BYTES of each label. Its ids are few, so they
+    are broadcast.
     """
-    own = labels.filter((id_crc("doc_id") % 5 != 0) & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    some = [hash_sample(own.filter(F.col("toxic") == kind), "toxic", "doc_id", most, 1) for kind, most in ((1, TOXIC_DOCS), (0, CLEAN_DOCS))]
-    picked = some[0].unionByName(some[1]).groupBy(F.col("id").alias("label_id")).agg(F.max("group").alias("toxic"), F.min("rank").alias("place"))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.length("text").between(1, SAMPLE_CHARS))
-    rows = texts.join(F.broadcast(picked), texts["doc_id"] == picked["label_id"]).select("place", "doc_id", "toxic", F.col("text").cast("binary").alias("text"))
-    held = sorted(rows.collect(), key=lambda r: (r["place"], r["doc_id"]))
-    kinds = [[bytes(r["text"]) for r in held if r["toxic"] == kind][:most] for kind, most in ((1, TOXIC_DOCS), (0, CLEAN_DOCS))]
+    own = labels.filter((id_crc("doc_id") % 5 != 0) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    kinds = []
+    for kind, most in ((1, TOXIC_DOCS), (0, CLEAN_DOCS)):
+        picked = hash_top(own.filter(F.col("toxic") == kind), "doc_id", most).withColumnRenamed("id", "label_id")
+        texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.length("text").between(1, SAMPLE_CHARS))
+        rows = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("label_id")).select("place", "doc_id", F.col("text").cast("binary").alias("text"))
+        kinds.append([bytes(r["text"]) for r in bounded_rows(rows, ["place", "doc_id"], SAMPLE_BYTES)][:most])
     return fit(*kinds)
 
 
@@ -210,7 +223,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     for each row in; other columns are ignored. A null id is not held out.
     """
     spark = docs.sparkSession
-    small_batches(spark, 1000, 4)
+    small_batches(spark)
     model = spark.sparkContext.broadcast(train(docs, labels, id_col, text_col))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
@@ -224,9 +237,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores below the threshold; nothing is shuffled for it."""
+    """The rows of ``docs``, all columns, whose text scores below the threshold; nothing is shuffled for it.
+
+    Each row is decided by its own text: repeated rows and ids all stay or all go. Null and empty texts have
+    the score of a text without windows, which stays if clean documents are common. A null id is no
+    reason to go. Columns of any other name pass through; an empty table gives an empty one.
+    """
     spark = docs.sparkSession
-    small_batches(spark, 1000, 4)
+    small_batches(spark)
     model = spark.sparkContext.broadcast(train(docs, labels, id_col, text_col))
     at = docs.columns.index(text_col)
 
