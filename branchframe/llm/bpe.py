@@ -304,7 +304,7 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     empty: no tokens. Special strings in a text become their ids, as is the library's default. One
     row comes out for each row in, repeated or not; other columns are ignored.
     """
-    small_batches(docs.sparkSession, 1000, 4)
+    small_batches(docs.sparkSession)
 
     def run(batches):
         own = encoder(path)

@@ -173,7 +173,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     form a group; its largest id stays. Of rows that repeat that id too, exactly one is kept. A
     null id never beats another. An empty table gives an empty one; other columns are ignored.
     """
-    small_batches(docs.sparkSession, 20000)
+    small_batches(docs.sparkSession)
     rows = materialise(digest_rows(docs, id_col, text_col), "digests")
     low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
     middle = 0 if low is None else low + (high - low) // 2

@@ -82,7 +82,7 @@ def _digest(text_col: str):
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, digest of the text, node, keys) of each row of ``docs``. Null texts count as empty."""
-    small_batches(docs.sparkSession, 1000, 4)
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in tidy_after(batches):
@@ -100,7 +100,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
 
 def shingle_sets(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(node, size, sketch, grams) of each row of ``texts(text)``."""
-    small_batches(texts.sparkSession, 1000, 4)
+    small_batches(texts.sparkSession)
 
     def run(batches):
         for batch in tidy_after(batches):
@@ -197,7 +197,7 @@ def likely_links(cells: DataFrame, sets: DataFrame, similarity: float, again: bo
                 held.append(tuple(row))
         yield from done()
 
-    small_batches(cells.sparkSession, 1000, 4)
+    small_batches(cells.sparkSession)
     rows = cells.join(sets.select("node", "size", "sketch"), "node").select("cell", "node", "root", "size", "sketch")
     return rows.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(run, "u bigint, v bigint").distinct()
 
@@ -215,7 +215,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             yield batch.select(["u", "v"]).filter(pa.array(near)).cast(_EDGES)
 
     own = sets.select(F.col("node").alias("u"), F.col("grams").alias("a")), sets.select(F.col("node").alias("v"), F.col("grams").alias("b"))
-    small_batches(pairs.sparkSession, 1000, 4)
+    small_batches(pairs.sparkSession)
     return pairs.join(own[0], "u").join(own[1], "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
 
 

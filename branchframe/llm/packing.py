@@ -44,7 +44,7 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
 
 def tokenised_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece of each document; null texts are empty (the end token alone)."""
-    small_batches(docs.sparkSession, 1000, 4)
+    small_batches(docs.sparkSession)
 
     def run(batches):
         read = (((batch.column(0).to_pylist(), batch.column(2).to_pylist()), [x or "" for x in batch.column(1).to_pylist()]) for batch in tidy_after(batches))

@@ -129,7 +129,7 @@ _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint's bits as a bigint. Null texts count as empty."""
-    small_batches(docs.sparkSession, 1000, 4)
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in tidy_after(batches):
@@ -219,7 +219,7 @@ def _linked(batches):
 
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
     """(u, v) links that span the components of the distinct fingerprints in column fp; none is over DISTANCE."""
-    small_batches(distinct.sparkSession, 100_000, 16)
+    small_batches(distinct.sparkSession)
     keys = distinct.select("fp").mapInArrow(_keyed, "key bigint, fp bigint")
     return keys.repartition("key").sortWithinPartitions("key").mapInArrow(_linked, "u bigint, v bigint").distinct()
 

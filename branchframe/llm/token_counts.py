@@ -271,7 +271,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     bytes, no tokens. Special strings in a text count as one token each, as is the library's
     default. One row comes out for each row in; other columns are ignored.
     """
-    small_batches(docs.sparkSession, 1000, 4)
+    small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def run(batches):
