@@ -7,15 +7,18 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from branchframe.llm import language_id as lang
 from branchframe.llm import queries as q
 from branchframe.llm import toxicity as tox
-from branchframe.llm.common import slices, utf8_parts
+from branchframe.llm.common import bounded_rows, slices, utf8_parts
 from tests.conftest import DATA
 from tests.llm.test_near_copies import brute_groups
 
+SMALL = DATA.replace("sf0.001", "sf0.01")
+
 
 def code_length(text, samples):
     fold = lambda t: bytes(lang.ORDER) + bytes(lang._FOLD[np.frombuffer(t, np.uint8)].tolist())
@@ -107,6 +110,51 @@ def test_toxicity_held_out_and_odd_rows(spark):
     assert tox.score_toxicity(frame, labels.limit(0)).filter("predicted = 1").count() == 0 and tox.score_toxicity(frame.limit(0), labels).count() == 0
 
 
+def by_definition(text, model):
+    """The score of a text from its definition: windows, compressed lengths, shares over thresholds, logistic function."""
+    def length(window, dictionary):
+        return len(zstandard.ZstdCompressor(level=tox.LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress(window))
+
+    saved = [length(w, model.ordinary) - length(w, model.toxic) for w in tox.windows(text)]
+    n = len(saved)
+    over = [sum(x >= k for x in saved) for k in tox.STEPS]
+    x = [0.0] * (2 * len(tox.STEPS) + 4)
+    if n:
+        x = [*((k / n) ** 0.5 for k in over), *(math.log(1 + k) for k in over), min(max(saved), 12) / 4, sum(saved) / n, math.log(1 + n), sum(max(k - 1, 0) for k in saved) / n]
+    z = sum(w * (a - m) / s for w, a, m, s in zip(model.weights, x, model.mean, model.spread, strict=False)) + model.weights[-1]
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+def test_toxicity_scores_equal_their_definition_and_are_calibrated(spark):
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect() if r["toxic"] in (0, 1)}
+    fold = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in labels}
+    parts = [[docs[i] for i in sorted(labels) if labels[i] == kind and not fold[i] and docs.get(i)] for kind in (1, 0)]
+    model = tox.fit(*parts)
+    odd = [b"", b" ", b"x" * 5000, "é stupid idiot".encode(), b"stupid worthless idiot " * 40]
+    texts = [*odd, *[docs[i] for i in sorted(labels) if fold[i]][:60]]
+    got = model.score(np.array([tox.features(tox.savings(t, model.ordinary, model.toxic)) for t in texts]))
+    assert got == pytest.approx([by_definition(t, model) for t in texts], abs=1e-9)
+    assert len(model.toxic) > len(model.ordinary) and model.toxic.endswith(model.ordinary)
+    held = [(labels[i], model.score(np.array([tox.features(tox.savings(docs[i], model.ordinary, model.toxic))]))[0]) for i in sorted(labels) if fold[i] and i in docs]
+    assert np.mean([(p >= 0.5) == y for y, p in held]) > 0.9
+    sure = [y for y, p in held if p < 0.1]
+    assert len(sure) > len(held) / 2 and np.mean(sure) < 0.15  # of those that score low few are toxic
+
+
+def test_samples_are_bounded_by_bytes_and_repeats(spark):
+    rows = spark.createDataFrame([(0.1, 1, b"aaaa"), (0.1, 1, b"zz"), (0.2, 2, b"bbb"), (0.3, 3, b"cc"), (0.4, 4, b"d")], "place double, id bigint, text binary")
+    take = lambda most: [bytes(r["text"]) for r in bounded_rows(rows, ["place", "id"], most)]
+    assert take(100) == [b"aaaa", b"bbb", b"cc", b"d"] and take(8) == [b"aaaa", b"bbb"] and take(1) == []
+
+
+def test_foreign_bits_follow_the_sample():
+    plain = {"en": [b"the cat sat on the mat and the dog sat on the log %d" % i for i in range(20)]}
+    assert lang.foreign_bits(plain) == lang.FOREIGN_BITS and lang.foreign_bits({}) == lang.FOREIGN_BITS
+    noise = {"en": [bytes(np.random.default_rng(i).integers(128, 256, 200, np.uint8)) for i in range(20)]}
+    assert lang.foreign_bits(noise) > 7
+
+
 def test_pipeline_stages_keep_columns_and_agree_with_operators(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
