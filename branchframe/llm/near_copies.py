@@ -142,20 +142,26 @@ def likeness(sketches: list[np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray,
     return common / np.maximum(below + below.T - common, 1), whole[:, None] & whole[None, :]
 
 
-def forest(weight: np.ndarray) -> list[tuple[int, int]]:
-    """The heaviest spanning forest of a symmetric matrix; no link below 0, and links over 1 are there already."""
-    n = len(weight)
-    if n == 2:
-        return [(0, 1)] if 0 <= weight[0, 1] <= 1 else []
-    left, best, source = np.ones(n, bool), np.full(n, -1.0), np.zeros(n, np.int64)
-    out = []
-    for _ in range(n):
-        at = int(np.where(left, best, -2.0).argmax())
-        if 0 <= best[at] <= 1:
-            out.append((int(source[at]), at))
-        left[at] = False
-        better = weight[at] > best
-        best[better], source[better] = weight[at][better], at
+def forest(good: np.ndarray, weight: np.ndarray, roots: np.ndarray) -> list[tuple[int, int]]:
+    """Links that span the components of a symmetric relation over groups of equal roots: shallow, and none within a group."""
+    if len(good) == 2:
+        return [(0, 1)] if good[0, 1] and roots[0] != roots[1] else []
+    left, out = np.ones(len(good), bool), []
+    for start in np.argsort(-good.sum(axis=1), kind="stable").tolist():
+        if not left[start]:
+            continue
+        group = left & (roots == roots[start])
+        left &= ~group
+        queue = [start, *(i for i in np.flatnonzero(group).tolist() if i != start)]
+        for at in queue:
+            near = np.flatnonzero(left & good[at])
+            if len(near):
+                near = near[np.argsort(-weight[at, near], kind="stable")]
+                near = near[np.unique(roots[near], return_index=True)[1]]
+                out += [(at, j) for j in near.tolist()]
+                group = left & np.isin(roots, roots[near])
+                left &= ~group
+                queue += np.flatnonzero(group).tolist()
     return out
 
 
@@ -163,15 +169,12 @@ def _cell_links(nodes: np.ndarray, roots: np.ndarray, sketches: list[np.ndarray]
     """Likely links of the members of a cell: a spanning forest, and if ``again`` all between what is still apart and not exact."""
     likely, exact = likeness(sketches, sizes)
     good = likely >= np.where(exact, similarity - 1e-6, similarity - MARGIN)
-    same = roots[:, None] == roots[None, :]
+    more: list[tuple[int, int]] = []
     if again:
-        a, b = np.nonzero(np.triu(good & ~exact & ~same, 1))
+        a, b = np.nonzero(np.triu(good & ~exact & (roots[:, None] != roots[None, :]), 1))
         more = list(zip(a.tolist(), b.tolist(), strict=True))
         good &= exact
-    else:
-        more = []
-    weight = np.where(same, 2.0, np.where(good, likely, -1.0))
-    return [(int(nodes[i]), int(nodes[j])) for i, j in [*forest(weight), *more]]
+    return [(int(nodes[i]), int(nodes[j])) for i, j in [*forest(good, likely, roots), *more]]
 
 
 def likely_links(cells: DataFrame, sets: DataFrame, similarity: float, again: bool) -> DataFrame:
@@ -248,24 +251,28 @@ def _cells_apart(members: DataFrame, block: int) -> DataFrame:
     return among.unionByName(left).unionByName(right)
 
 
-def node_links(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """Decided (u, v) that span the components of ``members(key, node, n)``, n of a key; ``sets`` as of shingle_sets()."""
+def node_roots(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(node, root) of the linked nodes of ``members(key, node, n)``, n of a key; ``sets`` as of shingle_sets()."""
     small, large = members.filter(F.col("n") <= block), members.filter(F.col("n") > block)
     first = likely_links(small.select(F.col("key").alias("cell"), "node", F.col("node").alias("root")), sets, similarity, again=False)
     pairs = materialise(first.union(_head_pairs(large.select("key", "node"))).distinct(), "likely")
     links = materialise(_similar(pairs, sets, similarity), "near-links")
-    discard(pairs)
+    roots = connected_components(links)
+    discard(pairs, links)
     cut = sets.filter(F.octet_length("sketch") < 4 * F.col("size")).select(F.col("node").alias("cut_node")).distinct()
     keys = small.join(cut, F.col("node") == F.col("cut_node"), "left_semi").select("key").distinct()
     again = large.select("key", "node").unionByName(small.join(keys, "key", "left_semi").select("key", "node"))
     if again.isEmpty():
-        return links
-    roots = connected_components(links)
+        return roots
     rooted = materialise(again.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "again")
-    discard(roots)
     pairs = materialise(likely_links(_cells_apart(rooted, block), sets, similarity, again=True), "likely")
-    out = materialise(links.union(_similar(pairs, sets, similarity)), "near-links")
-    discard(pairs, rooted, links)
+    of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    ends = [F.coalesce(f"{end}_root", end).alias(end) for end in "uv"]
+    more = materialise(_similar(pairs, sets, similarity).join(of("u"), "u", "left").join(of("v"), "v", "left").select(*ends), "near-links")
+    joined = connected_components(more).select(F.col("node").alias("old"), F.col("root").alias("new"))  # over roots: few rounds
+    every = roots.select("node", "root").unionByName(more.select(F.explode(F.array("u", "v")).alias("node")).select("node", F.col("node").alias("root"))).distinct()
+    out = materialise(every.join(joined, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")).distinct(), "roots")
+    discard(pairs, rooted, more, roots)
     return out
 
 
@@ -288,13 +295,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("digest"))
     texts = docs.select(_digest(text_col).alias("digest"), F.col(text_col).alias("text")).join(reps, "digest", "left_semi").dropDuplicates(["digest"])
     sets = materialise(shingle_sets(texts, shingle), "sets")
-    links = node_links(members, sets, similarity, block)
-    roots = connected_components(links)
+    roots = node_roots(members, sets, similarity, block)
     rooted = nodes.join(roots, "node", "left").select("node", "win", F.coalesce("root", "node").alias("root"))
     best = rooted.groupBy("root").agg(F.min("win").alias("best"))
     wins = rooted.join(best, "root").select("node", "best")
     own = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest"))
     out = ids.join(wins, "node").select("doc_id", F.col("best.doc_id").alias("keep_id"), own.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "n")
     done = materialise(out, "near-copies")
-    discard(rows, ids, nodes, members, sets, links, roots)
+    discard(rows, ids, nodes, members, sets, roots)
     return done

@@ -94,9 +94,14 @@ def test_likeness_is_exact_for_whole_sets_and_the_forest_spans():
     sets = [np.unique(rng.integers(0, 400, 200, np.uint32)) for _ in range(30)]
     got, exact = likeness(sets, np.array([len(s) for s in sets]))
     assert exact.all() and all(abs(got[i, j] - len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j]))) < 1e-6 for i in range(30) for j in range(30))
-    links = forest(np.where(got > 0.33, got, -1.0))
-    every = [(i, j) for i in range(30) for j in range(i) if got[i, j] > 0.33]
+    good = (got > 0.33) & ~np.eye(30, dtype=bool)
+    every = [(i, j) for i in range(30) for j in range(i) if good[i, j]]
+    links = forest(good, got, np.arange(30))
     assert components(30, links) == components(30, every) and len(links) == 30 - len(set(components(30, every)))
+    roots = np.arange(30) // 3
+    same = [(i, j) for i in range(30) for j in range(i) if roots[i] == roots[j]]
+    links = forest(good, got, roots)
+    assert components(30, links + same) == components(30, every + same) and len(links) == 10 - len(set(components(30, every + same)))
 
 
 def test_near_stage_with_clashing_names_and_repeats(spark):
