@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import inspect
 import secrets
+import threading
 from collections.abc import Callable
 
 from py4j.protocol import Py4JError
@@ -32,6 +33,7 @@ ClosedError = _kind("Closed")
 SessionLostError = _kind("SessionLost")
 InUseError = _kind("InUse")
 InternalError = _kind("Internal")
+CancelledError = _kind("Cancelled")
 
 Logger = Callable[[str, str], None]
 
@@ -49,16 +51,30 @@ def scrub(error: BaseException, log: Logger | None = None) -> EngineError:
     return out
 
 
+_depth = threading.local()
+
+
 def guarded(log_of: Callable[[object], Logger | None]) -> Callable[[type], type]:
-    """A class whose public methods let Spark's errors, which may quote data, out only as a kind and a code."""
+    """A class whose public methods let errors out only as a kind and a code: those of the engine, and Spark's, which may quote data.
+
+    The outermost call of a thread does it, once, so that callers within the engine see whole errors. A DataFrame that is
+    returned runs outside of it.
+    """
 
     def wrap(method: Callable) -> Callable:
         @functools.wraps(method)
         def call(self, *args, **kwargs):
+            outermost = not getattr(_depth, "inside", False)
+            _depth.inside = True
             try:
                 return method(self, *args, **kwargs)
-            except (PySparkException, Py4JError) as error:
+            except (EngineError, PySparkException, Py4JError) as error:
+                if not outermost:
+                    raise
                 raise scrub(error, log_of(self)) from None
+            finally:
+                if outermost:
+                    _depth.inside = False
 
         return call
 

@@ -6,6 +6,10 @@ import json
 import re
 from dataclasses import dataclass
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 from branchframe.errors import InvalidError
 
 
@@ -46,6 +50,31 @@ def encode_location(location: Location) -> str:
     return json.dumps(parts, separators=(",", ":"), ensure_ascii=False, sort_keys=True)
 
 
+def _json(x: Column, kind: T.DataType) -> Column:
+    """A value as it stands in a location's text."""
+    if isinstance(kind, T.BinaryType):
+        text = F.concat(F.lit('{"hex":"'), F.lower(F.hex(x)), F.lit('"}'))
+    elif isinstance(kind, (T.StringType, T.ArrayType)):
+        whole = F.to_json(F.array(x))
+        text = F.substr(whole, F.lit(2), F.length(whole) - 2)
+    else:
+        text = x.cast("string")
+    return F.coalesce(text, F.lit("null"))
+
+
+def located(df: DataFrame, keys: list[str], below: Column | None = None, name: str = "location") -> DataFrame:
+    """``df`` with the text of each row's place, as encode_location() spells it: its key, and what ``below`` says unless null.
+
+    Keys are binary, text, whole numbers or booleans; ``below`` is a column tag, a field or member, or an array of path steps.
+    """
+    key = F.concat(F.lit("["), F.concat_ws(",", *[_json(F.col(k), df.schema[k].dataType) for k in keys]), F.lit("]"))
+    if below is None:
+        return df.withColumn(name, F.concat(F.lit("["), key, F.lit("]")))
+    kind = df.select(below.alias("below")).schema["below"].dataType
+    part = F.when(below.isNull(), F.lit("")).otherwise(F.concat(F.lit(","), _json(below, kind)))
+    return df.withColumn(name, F.concat(F.lit("["), key, part, F.lit("]")))
+
+
 def parse_location(text: str) -> Location:
     """The place of a text; InvalidError unless encode_location would write exactly this text."""
     try:

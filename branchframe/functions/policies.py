@@ -31,38 +31,3 @@ def counter(base: Column, ours: Column, theirs: Column) -> Column:
     total = wide(ours) + wide(theirs) - wide(base)
     half, whole = F.lit(_TWO_63).cast("decimal(38,0)"), F.lit(_TWO_64).cast("decimal(38,0)")
     return (F.pmod(total + half, whole) - half).cast("bigint")
-
-
-def observed_remove(base: Column, ours: Column, theirs: Column) -> Column:
-    """Members of a set of (element, tag): kept by both, or added by either; what a side removed is gone."""
-    kept = F.array_intersect(ours, theirs)
-    return F.array_sort(F.array_union(kept, F.array_union(F.array_except(ours, base), F.array_except(theirs, base))))
-
-
-def _value_of(entries: Column, test, value: str) -> Column:
-    """A struct of the value of the entry that passes, or null if none does."""
-    found = F.filter(entries, test)
-    return F.when(F.size(found) > 0, F.struct(F.get(found, F.lit(0))[value].alias("v")))
-
-
-def hash_merge(base: Column, ours: Column, theirs: Column) -> Column:
-    """An array of (name, merged value or null if gone, clash, deleted) over all fields of arrays of (name, value)."""
-    names = F.array_sort(F.array_union(F.transform(ours, lambda f: f["name"]), F.array_union(F.transform(theirs, lambda f: f["name"]), F.transform(base, lambda f: f["name"]))))
-
-    def field(name: Column) -> Column:
-        b, o, t = (_value_of(side, lambda f: f["name"] == name, "value") for side in (base, ours, theirs))
-        return F.struct(name.alias("name"), scalar(b, o, t).alias("value"), scalar_clash(b, o, t).alias("clash"), (o.isNull() | t.isNull()).alias("deleted"))
-
-    return F.transform(names, field)
-
-
-def scored_merge(base: Column, ours: Column, theirs: Column) -> Column:
-    """An array of (member, tag, merged score, clash) over the members that stay, of arrays of (score, member, tag)."""
-    tagged = lambda side: F.transform(side, lambda s: F.struct(s["member"].alias("member"), s["tag"].alias("tag")))
-
-    def one(m: Column) -> Column:
-        b, o, t = (_value_of(side, lambda s: (s["member"] == m["member"]) & (s["tag"] == m["tag"]), "score") for side in (base, ours, theirs))
-        score = F.coalesce(scalar(b, o, t), o, t)
-        return F.struct(m["member"].alias("member"), m["tag"].alias("tag"), score["v"].alias("score"), scalar_clash(b, o, t).alias("clash"), (o.isNull() | t.isNull()).alias("deleted"))
-
-    return F.transform(observed_remove(tagged(base), tagged(ours), tagged(theirs)), one)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from branchframe.errors import ExistsError, InvalidError, NotFoundError
 from branchframe.functions.numeric import canonical_numeric
+from branchframe.functions.values import over_limits
 from branchframe.plans.schema import Schema
 
 
@@ -36,7 +38,7 @@ def range_scan(df: DataFrame, key: str, start=None) -> DataFrame:
 
 
 def violations(schema: Schema) -> Column:
-    """Whether a row breaks a rule of its columns: NULL, length, UTF-8, canonical decimals, sizes of uuid and jsonb."""
+    """Whether a row breaks a rule of its columns: NULL, length, UTF-8, canonical decimals, sizes of uuid, jsonb, cells and keys."""
     bad = F.lit(False)
     for c in schema.columns:
         x = F.col(c.name)
@@ -52,26 +54,44 @@ def violations(schema: Schema) -> Column:
             bad = bad | F.coalesce(F.length(x) != 16, F.lit(False))
         if c.type == "jsonb":
             bad = bad | F.coalesce(F.length(x) == 0, F.lit(False))
-    return bad
+    return bad | over_limits(schema)
 
 
-def check_rows(df: DataFrame, schema: Schema, hidden: list[str] | None = None) -> DataFrame:
-    """``df`` if its columns are exactly the schema's and no row breaks a rule; one fused aggregate checks all."""
+def check_columns(df: DataFrame, schema: Schema, hidden: list[str] | None = None) -> DataFrame:
+    """``df`` if its columns are exactly the schema's: values are never coerced."""
     want = {f.name: f.dataType for f in schema.struct()}
     have = {f.name: f.dataType for f in df.schema if f.name not in (hidden or [])}
     if want != have:
         raise InvalidError("the columns aren't the schema's: values are never coerced")
-    if df.filter(violations(schema)).limit(1).count():
+    return df
+
+
+def check_rows(df: DataFrame, schema: Schema, hidden: list[str] | None = None) -> DataFrame:
+    """``df`` if its columns are exactly the schema's and no row breaks a rule; one fused aggregate checks all."""
+    if check_columns(df, schema, hidden).filter(violations(schema)).limit(1).count():
         raise InvalidError("a row breaks a rule of its columns")
     return df
 
 
+def full_rows(df: DataFrame, schema: Schema) -> DataFrame:
+    """Rows with the key and some other columns of a schema as whole rows: what they lack is NULL."""
+    want = {f.name: f.dataType for f in schema.struct()}
+    if any(f.name not in want or want[f.name] != f.dataType for f in df.schema) or not set(schema.key_names) <= set(df.columns):
+        raise InvalidError("the columns aren't the schema's: values are never coerced")
+    return df.select(*[(F.col(f"`{n}`") if n in df.columns else F.lit(None)).cast(k).alias(n) for n, k in want.items()])
+
+
 def normalised(df: DataFrame) -> DataFrame:
     """-0.0 as 0.0 in floating-point columns, so equal rows have equal digests."""
     kinds = {f.name for f in df.schema if f.dataType.simpleString() in ("float", "double")}
     return df.withColumns({n: F.when(F.col(n) == 0, F.lit(0.0).cast(df.schema[n].dataType)).otherwise(F.col(n)) for n in kinds}) if kinds else df
 
 
+def last_of_each(rows: list, keys: list[int]) -> list:
+    """Rows of a list, of equal keys (places in a row) the last one only: a later write of one call replaces an earlier one."""
+    return list({tuple(bytes(r[k]) if isinstance(r[k], bytearray) else r[k] for k in keys): r for r in rows}.values())
+
+
 def insert(df: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """``df`` and new rows; ExistsError if a key is there already or comes twice."""
     found = rows.select(*keys).join(df.select(*keys), keys, "left_semi").limit(1).unionByName(rows.groupBy(*keys).count().filter("count > 1").select(*keys).limit(1))
@@ -98,3 +118,31 @@ def delete(df: DataFrame, gone: DataFrame, keys: list[str], must_exist: bool = T
     if must_exist and not gone.select(*keys).join(df.select(*keys), keys, "left_anti").isEmpty():
         raise NotFoundError("no such row")
     return df.join(gone.select(*keys), keys, "left_anti")
+
+
+def ranked(df: DataFrame, order: list[Column], name: str = "place", blocks: int = 64) -> DataFrame:
+    """``df`` with each row's place from 1 on in the order of ``order``, which must tell all rows apart.
+
+    Borders of blocks come from a bounded sample of rows (the first by a hash) and are literals of the plan, so a row's block is the
+    same whenever it is computed. Blocks are counted, and rows numbered within theirs: no task sorts everything.
+    """
+    tidy = [F.struct(x.isNotNull().alias("known"), x.alias("value")).alias(f"k{i}") for i, x in enumerate(order)]  # NULL first
+    key = F.struct(*tidy)
+    sample = df.select(key.alias("key")).orderBy(F.xxhash64("key")).limit(30 * blocks)
+    picked = sample.orderBy("key").collect()
+    kind = sample.schema["key"].dataType
+    step = max(1, len(picked) // blocks)
+    borders = [_literal(r["key"], kind) for r in picked[step::step]]
+    block, ahead, own = "_block", "_ahead", "_n"
+    here = df.withColumn(block, F.size(F.filter(F.array(*borders), lambda x: x <= key)) if borders else F.lit(0))
+    counts = here.groupBy(block).agg(F.count("*").alias(own))  # at most as many rows as blocks
+    before = counts.withColumn(ahead, F.coalesce(F.sum(own).over(Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop(own)
+    numbered = here.withColumn(name, F.row_number().over(Window.partitionBy(block).orderBy(key)))
+    return numbered.join(F.broadcast(before), block).withColumn(name, F.col(name) + F.col(ahead)).drop(block, ahead)
+
+
+def _literal(value, kind: T.DataType) -> Column:
+    """A struct or plain value as a literal of a type."""
+    if isinstance(kind, T.StructType):
+        return F.struct(*[_literal(value[f.name], f.dataType).alias(f.name) for f in kind])
+    return F.lit(value).cast(kind)

@@ -17,9 +17,12 @@ from branchframe.operators.sequence import merge_sequences, merge_trees
 from branchframe.plans.schema import Schema, dropped_tags, merge_schemas
 from branchframe.sources.shipping import ship
 
-DELETED_CHANGED = "deleted on one side and changed on the other"
-ADDED_BOTH = "added on both sides, differently"
-CHANGED_BOTH = "changed differently on both sides"
+#: Reasons of conflicts in rows, cells and map entries.
+DELETED_CHANGED = "one side removed it, the other wrote to it"
+ADDED_BOTH = "new on both sides, with unlike values"
+CHANGED_BOTH = "both sides wrote unlike values"
+OTHER_KINDS = "both sides made it a value of another kind"
+CHANGED_LIST = "both sides edited one part of the list, unlike"
 
 
 def sides(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -121,7 +124,7 @@ def _written(base: DataFrame, base_schema: Schema, other: DataFrame, other_schem
     old = base.select(*keys, F.struct(F.col(base_schema.column(tag).name).alias("c")).alias("f"))
     new = other.select(*[F.col(a).alias(b) for a, b in zip(other_keys, keys, strict=True)], F.struct(F.col(other_schema.column(tag).name).alias("c")).alias("t"))
     hit = old.join(new, keys, "full_outer").filter(F.col("t").isNotNull() & ~F.col("f.c").eqNullSafe(F.col("t.c")))
-    return hit.limit(1).select(F.lit(f"schema/{tag}").alias("location"), F.lit("dropped on one side and written on the other").alias("reason"))
+    return hit.limit(1).select(F.lit(f"schema/{tag}").alias("location"), F.lit("one side dropped the column, the other wrote cells of it").alias("reason"))
 
 
 #: Kinds of key-value entries, and the columns that carry them.
@@ -157,6 +160,56 @@ def _sequences(b: Column, o: Column, t: Column) -> Column:
     return run(b, o, t)
 
 
+#: Kinds whose members merge one by one, and how each column's items show as (name, tag, cell).
+_MEMBERED = {
+    SET: ("members", lambda x: (x["elem"], x["tag"], F.lit(None).cast("binary"), F.lit(None).cast("double"))),
+    HASH: ("fields", lambda x: (x["name"], F.lit(None).cast("decimal(20,0)"), x["value"], F.lit(None).cast("double"))),
+    SORTED_SET: ("scores", lambda x: (x["member"], x["tag"], F.lit(None).cast("binary"), x["score"])),
+}
+_NO_SPOTS = "array<struct<place:binary,reason:string>>"
+
+
+def _items(side: int, name: str) -> Column:
+    """The items of a side's sets, hashes and sorted sets as one array of (side, name, tag, cell)."""
+
+    def flat(shape):
+        def one(x: Column) -> Column:
+            member, tag, value, score = shape(x)
+            return F.struct(F.lit(side).alias("side"), member.alias("name"), tag.alias("tag"), F.struct(value.alias("value"), score.alias("score")).alias("cell"))
+
+        return one
+
+    none = F.array().cast("array<struct<side:int,name:binary,tag:decimal(20,0),cell:struct<value:binary,score:double>>>")
+    return F.concat(*[F.coalesce(F.transform(F.col(f"{name}.{column}"), flat(shape)), none) for column, shape in _MEMBERED.values()])
+
+
+def merge_members(both: DataFrame) -> DataFrame:
+    """(key, v, spots) of rows (key, mode, b, o, t) of sets, hashes and sorted sets: members are grouped by (key, member).
+
+    However many members a value has, each is compared with itself only; nothing scans an array for another's member.
+    """
+    items = both.select("key", "mode", F.explode(F.concat(*[_items(i, s) for i, s in enumerate("bot")])).alias("x")).select("key", "mode", "x.*")
+    one = lambda side: F.max(F.when(F.col("side") == side, F.col("cell")))
+    each = items.groupBy("key", "mode", "name", "tag").agg(one(0).alias("b"), one(1).alias("o"), one(2).alias("t"))
+    b, o, t, mode = F.col("b"), F.col("o"), F.col("t"), F.col("mode")
+    observed = (o.isNotNull() & t.isNotNull()) | (b.isNull() & (o.isNotNull() | t.isNotNull()))
+    field = policies.scalar(b, o, t)
+    stays = F.when(mode == HASH, field.isNotNull()).otherwise(observed)
+    cell = F.when(mode == HASH, field).otherwise(F.coalesce(policies.scalar(b, o, t), o, t))
+    clash = policies.scalar_clash(b, o, t) & ((mode == HASH) | ((mode == SORTED_SET) & observed))
+    why = F.when(o.isNull() | t.isNull(), DELETED_CHANGED).otherwise(CHANGED_BOTH)
+    each = each.select("key", "mode", "name", "tag", stays.alias("stays"), cell.alias("cell"), F.when(clash, F.struct(F.col("name").alias("place"), why.alias("reason"))).alias("spot"))
+    kept = lambda kind, *parts: F.sort_array(F.collect_list(F.when(F.col("stays") & (mode == kind), F.struct(*parts))))
+    name, tag = F.col("name"), F.col("tag")
+    value = {
+        "members": kept(SET, name.alias("elem"), tag.alias("tag")), "fields": kept(HASH, name.alias("name"), F.col("cell.value").alias("value")),
+        "scores": kept(SORTED_SET, F.col("cell.score").alias("score"), name.alias("member"), tag.alias("tag")),
+    }
+    grouped = each.groupBy("key", "mode").agg(*[v.alias(n) for n, v in value.items()], F.sort_array(F.collect_list("spot")).alias("spots"))
+    kinds = F.coalesce(*[F.when(mode == k, _kv_value(k, **{column: F.col(column)})) for k, (column, _) in _MEMBERED.items()])
+    return grouped.select("key", kinds.alias("v"), F.col("spots").cast(_NO_SPOTS).alias("spots"))
+
+
 def merge_kv(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> MergeResult:
     """Key-value maps merge by key, values by kind: counters add changes (equal ones too), sets keep the
     observed-remove rule, hashes merge by field, sorted sets by member, sequences as diff3. conflicts:
@@ -170,36 +223,22 @@ def merge_kv(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> MergeResult
     counters = F.coalesce(one_kind & (kind("o") == COUNTER), F.lit(False))
     plain = policies.same(o, b) | policies.same(t, b) | (policies.same(o, t) & ~counters)
     deep = ~plain & F.coalesce(one_kind, F.lit(False))
-    is_kind = lambda k: deep & (kind("o") == k)
-    both = both.withColumns({
-        "mode": F.when(plain, 0).when(deep, kind("o").cast("int")).otherwise(-1),
-        "fields": F.when(is_kind(HASH), policies.hash_merge(*(F.col(f"{s}.fields") for s in "bot"))),
-        "scores": F.when(is_kind(SORTED_SET), policies.scored_merge(*(F.col(f"{s}.scores") for s in "bot"))),
-        "sequence": _sequences(*(F.when(is_kind(SEQUENCE), F.col(f"{s}.seq")) for s in "bot")),
-    })
+    both = both.withColumn("mode", F.when(plain, 0).when(deep, kind("o").cast("int")).otherwise(-1))
     mode = F.col("mode")
-    fields = F.transform(F.filter("fields", lambda f: f["value"].isNotNull()), lambda f: F.struct(f["name"].alias("name"), f["value"]["v"].alias("value")))
-    scores = F.array_sort(F.transform("scores", lambda s: F.struct(s["score"].alias("score"), s["member"].alias("member"), s["tag"].alias("tag"))))
+    whole, membered = both.filter(~mode.isin(*_MEMBERED)), both.filter(mode.isin(*_MEMBERED))
+    whole = whole.withColumn("sequence", _sequences(*(F.when(mode == SEQUENCE, F.col(f"{s}.seq")) for s in "bot")))
     value = (
         F.when(mode == 0, policies.scalar(b, o, t).cast(_KV_ROW))
         .when(mode == COUNTER, _kv_value(COUNTER, counter=policies.counter(*(F.col(f"{s}.counter") for s in "bot"))))
-        .when(mode == SET, _kv_value(SET, members=policies.observed_remove(*(F.col(f"{s}.members") for s in "bot"))))
-        .when(mode == HASH, _kv_value(HASH, fields=fields))
-        .when(mode == SORTED_SET, _kv_value(SORTED_SET, scores=scores))
         .when(mode == SEQUENCE, _kv_value(SEQUENCE, seq=F.col("sequence.seq")))
     )
     kinds_differ = o.isNotNull() & t.isNotNull() & (kind("o") != kind("t"))
-    at_key = F.when((mode == -1) | (mode == BYTES), F.when(o.isNull() | t.isNull(), DELETED_CHANGED).when(kinds_differ, "changed to different kinds on both sides").when(b.isNull(), ADDED_BOTH).otherwise(CHANGED_BOTH))
-    at_key = F.coalesce(at_key, F.when(F.coalesce(F.col("sequence.clash"), F.lit(False)), "both sides changed the sequence, differently"))
-    why = lambda x: F.when(x["deleted"], DELETED_CHANGED).otherwise(CHANGED_BOTH)
-    spot = lambda place, reason: F.struct(place.cast("binary").alias("place"), reason.alias("reason"))
-    below = lambda name, member: F.transform(F.filter(name, lambda x: x["clash"]), lambda x: spot(x[member], why(x)))
-    none = F.array().cast("array<struct<place:binary,reason:string>>")
-    spots = F.concat(F.when(at_key.isNotNull(), F.array(spot(F.lit(None), at_key))).otherwise(none), F.coalesce(below("fields", "name"), none), F.coalesce(below("scores", "member"), none))
-    conflicts = both.select("key", F.inline(spots))
-    rows = both.select("key", value.alias("v")).filter("v is not null").select("key", *[F.col(f"v.{n}").alias(n) for n in names])
-    flagged = both.select("key", F.explode("sequence.flagged").alias("position"))
-    return MergeResult(rows, conflicts, flagged)
+    at_key = F.when((mode == -1) | (mode == BYTES), F.when(o.isNull() | t.isNull(), DELETED_CHANGED).when(kinds_differ, OTHER_KINDS).when(b.isNull(), ADDED_BOTH).otherwise(CHANGED_BOTH))
+    at_key = F.coalesce(at_key, F.when(F.coalesce(F.col("sequence.clash"), F.lit(False)), CHANGED_LIST))
+    spots = F.when(at_key.isNotNull(), F.array(F.struct(F.lit(None).cast("binary").alias("place"), at_key.alias("reason")))).otherwise(F.array().cast(_NO_SPOTS))
+    done = whole.select("key", value.alias("v"), spots.alias("spots"), "sequence.flagged").unionByName(merge_members(membered), allowMissingColumns=True)
+    rows = done.filter("v is not null").select("key", *[F.col(f"v.{n}").alias(n) for n in names])
+    return MergeResult(rows, done.select("key", F.inline("spots")), done.select("key", F.explode("flagged").alias("position")))
 
 
 _TREE = "struct<doc:string,conflicts:array<struct<path:string,reason:string>>,flagged:array<string>>"

@@ -12,9 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from branchframe.engine import grants
+from branchframe.errors import SerializationError
 from branchframe.functions import policies
 from branchframe.functions.jsontext import canonical_json
+from branchframe.functions.locations import located
 from branchframe.functions.numeric import canonical_numeric, numeric_sort_key
+from branchframe.functions.values import kv_violations
 from branchframe.operators import diff as d
 from branchframe.operators import lookup
 from branchframe.operators import merge as m
@@ -169,6 +173,14 @@ def table_scan_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.scan(_t(spark, sf_dir, "customer"), _CUSTOMER_KEYS, ordered=True)
 
 
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey = 42")
+def engine_point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tx = database(spark, "point").session("q").begin()
+    t = tx.create_table("customer", CUSTOMER)
+    t.insert(_t(spark, sf_dir, "customer").select(*[c.name for c in CUSTOMER.columns]))
+    return spark.createDataFrame([t.get(42)], t.frame().schema)
+
+
 @query("SELECT * FROM customer WHERE c_custkey = 42")
 def table_point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.point_get(_t(spark, sf_dir, "customer"), {"c_custkey": 42})
@@ -190,9 +202,15 @@ def index_lookup_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.index_lookup(df, ["n"], [None], _CUSTOMER_KEYS)
 
 
-@query("SELECT url, length(html)::BIGINT AS size FROM pages WHERE url >= 'http://m'")
+@query("SELECT url, length(html)::BIGINT AS size FROM (SELECT url, max(html) AS html FROM pages GROUP BY url) WHERE url >= 'http://m' AND html IS NOT NULL")
 def kv_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.range_scan(_t(spark, sf_dir, "pages"), "url", "http://m").select("url", F.length("html").cast("bigint").alias("size"))
+    """A map of pages by URL, read from a key on in key order."""
+    pages = _t(spark, sf_dir, "pages").groupBy("url").agg(F.max("html").alias("html")).filter("html is not null and url is not null")
+    rows = pages.select(F.col("url").cast("binary").alias("key"), *[(F.col("html") if n == "bytes" else F.lit(m.BYTES) if n == "kind" else F.lit(None)).cast(k).alias(n) for n, k in m.KV_COLUMNS.items()])
+    tx = database(spark, "range").session("q").begin()
+    held = tx.create_kv("pages")
+    held.put(rows)
+    return held.scan_from(b"http://m").select(F.col("key").cast("string").alias("url"), F.length(F.col("bytes").cast("string")).cast("bigint").alias("size"))
 
 
 # Key-value maps: flat rows of a value's members stand for the value
@@ -265,6 +283,23 @@ def sortedset_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").cast("string").alias("k"), F.explode("scores").alias("x")).select("k", F.col("x.member").cast("string").alias("e"), F.col("x.tag").cast("bigint").alias("g"), F.col("x.score").alias("p"))
 
 
+_SCORED = """WITH f AS (SELECT (o_orderkey // 4) AS k, 'm' || (o_orderkey % 4) AS n, o_orderkey AS g, o_totalprice AS p FROM orders),
+    o AS (SELECT k, n, CASE WHEN g % 6 = 0 THEN p + 1 ELSE p END AS p FROM f WHERE g % 9 <> 1), t AS (SELECT k, n, CASE WHEN g % 10 = 0 THEN p + 2 ELSE p END AS p FROM f WHERE g % 8 <> 3),
+    a AS (SELECT f.k, f.n, f.p AS b, o.p AS o, t.p AS t FROM f JOIN o USING (k, n) JOIN t USING (k, n))"""
+
+
+@query(_SCORED + f" SELECT k::VARCHAR AS k, n AS place, '{m.CHANGED_BOTH}' AS reason FROM a WHERE o <> t AND o <> b AND t <> b")
+def sortedset_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members that both sides scored anew, unlike; a member that one side removed is gone without a conflict."""
+    g = F.col("o_orderkey")
+    f = _t(spark, sf_dir, "orders").select(F.floor(g / 4).cast("bigint").alias("k"), F.concat(F.lit("m"), (g % 4).cast("string")).alias("n"), g.alias("g"), F.col("o_totalprice").alias("p"))
+    g = F.col("g")
+    ours, theirs = f.filter(g % 9 != 1).withColumn("p", F.when(g % 6 == 0, F.col("p") + 1).otherwise(F.col("p"))), f.filter(g % 8 != 3).withColumn("p", F.when(g % 10 == 0, F.col("p") + 2).otherwise(F.col("p")))
+    member = F.struct(F.col("p").alias("score"), F.col("n").cast("binary").alias("member"), F.lit(1).cast("decimal(20,0)").alias("tag"))
+    found = m.merge_kv(*[_grouped(df, m.SORTED_SET, "scores", member) for df in (f, ours, theirs)]).conflicts.filter("place is not null")
+    return found.select(F.col("key").cast("string").alias("k"), F.col("place").cast("string").alias("place"), "reason")
+
+
 _KV_BYTES = with_sides(True)
 
 
@@ -310,7 +345,7 @@ def document_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.merge_documents(*_records(spark, sf_dir)).rows.select(F.col("id").cast("string").alias("id"), "doc")
 
 
-@query("SELECT event_id::VARCHAR AS id, 'o/x' AS path, 'both sides changed it, to different values' AS reason FROM events WHERE event_id % 6 = 0")
+@query("SELECT event_id::VARCHAR AS id, 'o/x' AS path, 'both sides wrote unlike values here' AS reason FROM events WHERE event_id % 6 = 0")
 def tree_merge_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, ours, theirs = _records(spark, sf_dir)
     x = F.col("event_id")
@@ -325,14 +360,17 @@ def document_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.diff_rows(base, ours, ["id"], ["doc"]).select("kind", F.col("id").cast("string").alias("id"))
 
 
-@query("""SELECT conv_id::VARCHAR AS k, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS place, 'T' || turn AS e FROM conversations
-    UNION ALL SELECT conv_id::VARCHAR, count(*)::INT, 'ours' FROM conversations GROUP BY conv_id
-    UNION ALL SELECT conv_id::VARCHAR, count(*)::INT + 1, 'theirs' FROM conversations GROUP BY conv_id""")
+@query("""WITH s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations),
+    m AS (SELECT conv_id, i, 0 AS late, 'T' || i AS e FROM s WHERE i % 5 <> 1 UNION ALL SELECT conv_id, i, 1, 'N' || i FROM s WHERE i % 5 = 3)
+    SELECT conv_id::VARCHAR AS k, (row_number() OVER (PARTITION BY conv_id ORDER BY i, late) - 1)::INT AS place, e FROM m""")
 def sequence_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").cast("binary").alias("key")).agg(F.array_sort(F.collect_list("turn")).alias("turns"))
-    turns = F.transform("turns", lambda x: F.concat(F.lit("T"), x.cast("string")).cast("binary"))
-    more = {None: turns, "ours": F.concat(turns, F.array(F.lit("ours").cast("binary"))), "theirs": F.concat(turns, F.array(F.lit("theirs").cast("binary")))}
-    sides = [rows.select("key", *[(v if n == "seq" else F.lit(m.SEQUENCE) if n == "kind" else F.lit(None)).cast(k).alias(n) for n, k in m.KV_COLUMNS.items()]) for v in more.values()]
+    rows = _t(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").cast("binary").alias("key")).agg(F.count("*").cast("int").alias("n"))
+    places = F.sequence(F.lit(0), F.col("n") - 1)
+    item = lambda mark, i: F.concat(F.lit(mark), i.cast("string")).cast("binary")
+    base = F.transform(places, lambda i: item("T", i))
+    ours = F.transform(F.filter(places, lambda i: i % 5 != 1), lambda i: item("T", i))  # deletions
+    theirs = F.flatten(F.transform(places, lambda i: F.when(i % 5 == 3, F.array(item("T", i), item("N", i))).otherwise(F.array(item("T", i)))))  # insertions
+    sides = [rows.select("key", *[(v if n == "seq" else F.lit(m.SEQUENCE) if n == "kind" else F.lit(None)).cast(k).alias(n) for n, k in m.KV_COLUMNS.items()]) for v in (base, ours, theirs)]
     merged = m.merge_kv(*sides).rows
     return merged.select(F.col("key").cast("string").alias("k"), F.posexplode("seq").alias("place", "e")).select("k", "place", F.col("e").cast("string").alias("e"))
 
@@ -424,17 +462,20 @@ def numeric_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey AS k, row_number() OVER (ORDER BY (o_totalprice - 200000)::DECIMAL(18,2), o_orderkey) AS place FROM orders")
 def numeric_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = (F.col("o_totalprice") - 200000).cast("decimal(18,2)").cast("string")
-    ranked = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), numeric_sort_key(canonical_numeric(text)).alias("key"))
-    below = ranked.groupBy("key").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
+    keyed = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), numeric_sort_key(canonical_numeric(text)).alias("key"))
+    return lookup.ranked(keyed, [F.col("key"), F.col("k")]).select("k", "place")
 
-    ahead = below.withColumn("ahead", F.sum("n").over(Window.orderBy("key")) - F.col("n"))
-    return ranked.join(ahead, "key").select("k", (F.col("ahead") + F.row_number().over(Window.partitionBy("key").orderBy("k"))).alias("place"))
 
-
-@query("SELECT event_id, props, '{\"k\":' || regexp_extract(props, '[0-9]+') || '}' AS canonical FROM events")
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN '{"k":' || regexp_extract(props, '[0-9]+') || '}' WHEN 1 THEN '{"a":[true,null,"' || event_type || '"],"b":' || event_id || '}'
+    WHEN 2 THEN event_id || '00' WHEN 3 THEN '{"x":{"y":[]},"z":"é/"}' WHEN 4 THEN NULL ELSE '[0.5,-' || (event_id + 1) || ',"\\n"]' END AS canonical FROM events""")
 def json_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "events").select("event_id", "props", canonical_json(F.col("props")).alias("canonical"))
+    e, i = F.col("event_id").cast("string"), F.col("event_id") % 6
+    text = (
+        F.when(i == 0, F.col("props")).when(i == 1, F.concat(F.lit('{ "b" : '), e, F.lit(' , "a":[ true, null, "'), F.col("event_type"), F.lit('" ] }')))
+        .when(i == 2, F.concat(e, F.lit(".0e2"))).when(i == 3, F.lit('{"z":"\\u00e9\\/","x":{"y":[ ]}}')).when(i == 4, F.lit('{"a":1,"a":2}'))
+        .otherwise(F.concat(F.lit('[5e-1,-'), (F.col("event_id") + 1).cast("string"), F.lit('.00,"\\n"]')))
+    )
+    return _t(spark, sf_dir, "events").select("event_id", canonical_json(text).alias("canonical"))
 
 
 @query("SELECT count(*) AS n FROM part WHERE length(p_name) > 12")
@@ -443,25 +484,20 @@ def varchar_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "part").filter(lookup.violations(schema)).agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES (1, 'neg'), (2, 'zero'), (3, 'inf'), (4, 'nan')) t(place, name)")
-def float_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("nan", float("nan")), ("inf", float("inf")), ("zero", -0.0), ("neg", -1.0)], "name string, x double")
-    from pyspark.sql import Window
+_FLOATS = "CASE WHEN c_custkey % 7 = 0 THEN 'NaN'::DOUBLE WHEN c_custkey % 7 = 1 THEN 'Infinity'::DOUBLE WHEN c_custkey % 7 = 2 THEN -0.0::DOUBLE WHEN c_custkey % 7 = 3 THEN 0.0::DOUBLE WHEN c_custkey % 7 = 4 THEN NULL ELSE c_acctbal END"
 
-    return lookup.normalised(rows).select(F.row_number().over(Window.orderBy("x")).alias("place"), "name")
+
+@query(f"SELECT c_custkey, row_number() OVER (ORDER BY {_FLOATS} NULLS FIRST, c_custkey) AS place FROM customer")
+def float_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    x = F.when(k % 7 == 0, float("nan")).when(k % 7 == 1, float("inf")).when(k % 7 == 2, -0.0).when(k % 7 == 3, 0.0).when(k % 7 == 4, F.lit(None)).otherwise(F.col("c_acctbal"))
+    return lookup.ranked(lookup.normalised(_t(spark, sf_dir, "customer").select(k, x.alias("x"))), [F.col("x"), k]).select(k, "place")
 
 
 @query("SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id END NULLS FIRST, event_id) AS place FROM events")
 def null_first_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
-    rows = _t(spark, sf_dir, "events").select("event_id", F.when(e % 5 != 0, e).alias("x"))
-    from pyspark.sql import Window
-
-    blocks = rows.repartitionByRange(8, F.col("x").asc_nulls_first(), "event_id").sortWithinPartitions(F.col("x").asc_nulls_first(), "event_id")
-    place = blocks.select("event_id", "x", F.spark_partition_id().alias("b"), F.monotonically_increasing_id().alias("i"))
-    sizes = place.groupBy("b").agg(F.count("*").alias("n"), F.min("i").alias("first"))
-    ahead = sizes.withColumn("ahead", F.sum("n").over(Window.orderBy("b")) - F.col("n"))
-    return place.join(ahead, "b").select("event_id", (F.col("ahead") + F.col("i") - F.col("first") + 1).alias("place"))
+    return lookup.ranked(_t(spark, sf_dir, "events").select(e, F.when(e % 5 != 0, e).alias("x")), [F.col("x"), e]).select(e, "place")
 
 
 # Sums by scan
@@ -481,24 +517,87 @@ def counter_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "events").agg(F.sum("user_id").alias("total"), F.count("*").alias("n"))
 
 
+# What may be written
+
+@query(with_sides(True) + """, c AS (SELECT k, 0 AS "column" FROM base WHERE k % 2 = 0) SELECT k::VARCHAR AS k, CASE WHEN k % 3 = 0 THEN '[[' || k || ']]' ELSE '[[' || k || '],' || (k % 3) || ']' END AS location,
+    '[["K' || k || '"],["a","b"]]' AS path_location, '[[{"hex":"' || lower(hex(encode(k::VARCHAR))) || '"}]]' AS key_location FROM c""")
+def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, _, _ = three(spark, sf_dir, True)
+    rows = base.filter(F.col("k") % 2 == 0).select("k", F.concat(F.lit("K"), F.col("k").cast("string")).alias("name"), F.col("k").cast("string").cast("binary").alias("raw"))
+    rows = located(rows, ["k"], F.when(F.col("k") % 3 != 0, (F.col("k") % 3).cast("int")))
+    rows = located(located(rows, ["name"], F.array(F.lit("a"), F.lit("b")), "path_location"), ["raw"], name="key_location")
+    return rows.select(F.col("k").cast("string").alias("k"), "location", "path_location", "key_location")
+
+
+@query("""SELECT o_orderkey AS k, o_orderkey % 16 BETWEEN 1 AND 13 AS bad FROM orders""")
+def kv_invalid_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One rule broken by each of most remainders: keys, kinds, payloads, repeats, NaN, sizes."""
+    k, none = F.col("o_orderkey"), F.lit(None)
+    r = k % 16
+    raw = lambda text: F.lit(text).cast("binary")
+    tag = lambda n: F.lit(n).cast("decimal(20,0)")
+    big = lambda n: F.repeat(F.lit("x"), n).cast("binary")
+    member = lambda e, t: F.struct(e.alias("elem"), tag(t).alias("tag"))
+    score = lambda x, e, t: F.struct(F.lit(x).alias("score"), raw(e).alias("member"), tag(t).alias("tag"))
+    field = lambda n, v: F.struct(raw(n).alias("name"), v.alias("value"))
+    cells = {
+        "key": F.when(r == 1, raw("")).when(r == 2, big(4097)).otherwise(k.cast("string").cast("binary")),
+        "kind": F.when(r == 3, 9).when(r.isin(4, 5, 0), 1).when(r == 6, 2).when(r.isin(7, 8, 14), 3).when(r.isin(9, 10), 4).when(r.isin(11, 12, 15), 5).when(r == 13, 6).otherwise(1),
+        "bytes": F.when(r == 4, big(262_145)).when(r == 5, none).when(r.isin(0, 1, 2, 3), raw("v")),
+        "counter": F.when(r == 5, 1),  # and a counter (6) without a number
+        "members": F.when(r == 7, F.array(member(raw("a"), 1), member(raw("b"), 2), member(raw("a"), 1))).when(r == 8, F.array(member(big(4097), 1)))
+        .when(r == 14, F.array(member(raw("a"), 1), member(raw("a"), 2))),
+        "fields": F.when(r == 9, F.array(field("n", raw("1")), field("n", raw("2")))).when(r == 10, F.array(field("n", none.cast("binary")))),
+        "scores": F.when(r == 11, F.array(score(float("nan"), "a", 1))).when(r == 12, F.array(score(1.0, "a", 1), score(2.0, "a", 1)))
+        .when(r == 15, F.array(score(1.0, "a", 1), score(1.0, "a", 2))),
+        "seq": F.when(r == 13, F.transform(F.sequence(F.lit(1), F.lit(65)), lambda _: big(4096))),
+    }
+    rows = _t(spark, sf_dir, "orders").select(k.alias("k"), *[v.cast("binary" if n == "key" else m.KV_COLUMNS[n]).alias(n) for n, v in cells.items()])
+    return rows.select("k", kv_violations().alias("bad"))
+
+
+@query("""SELECT p_partkey, p_partkey % 5 IN (1, 2, 4) AS bad FROM part""")
+def cell_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of 1 MiB in key order, their zero bytes counted twice, and keys of 4096 bytes."""
+    k = F.col("p_partkey") % 5
+    name = F.when(k == 1, F.repeat(F.lit("n"), 4094)).when(k == 2, F.repeat(F.lit("\x00"), 2100)).when(k == 3, F.repeat(F.lit("n"), 4093)).otherwise(F.lit("n"))
+    note = F.when((k == 4) & (F.col("p_partkey") % 50 == 4), F.repeat(F.lit("x"), (1 << 20) - 2)).when(k == 4, F.lit(None)).otherwise(F.lit("x"))
+    schema = Schema((Column(1, "name", "text"), Column(2, "note", "text")), (1,))
+    return _t(spark, sf_dir, "part").select("p_partkey", name.alias("name"), note.alias("note")).select("p_partkey", lookup.violations(schema).alias("bad"))
+
+
 # The engine end to end
 
 ORDERS = Schema((Column(1, "k", "int8"), Column(2, "s", "text", True), Column(3, "p", "float8", True), Column(4, "r", "text", True)), (1,))
 
 
-def database(spark: SparkSession, name: str):
-    """A new database in the shared folder of the session (a temporary one only where that is unset)."""
+def database(spark: SparkSession, name: str, **options):
+    """A new database in the shared folder of the session (a temporary one where that is unset and Spark is local)."""
     import uuid
 
     from branchframe.engine.database import Database
 
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="branchframe-db-")
-    return Database.create(spark, f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}", n_buckets=8)
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="branchframe-db-")
+    return Database.create(spark, f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}", **({"n_buckets": 8} | options))
+
+
+def _write(session, now: DataFrame, before: DataFrame) -> None:
+    """A transaction that turns the table's rows from ``before`` into ``now`` by inserts, updates and deletes."""
+    tx = session.begin()
+    t = tx.table("orders")
+    t.insert(now.join(before.select("k"), "k", "left_anti").select(*now.columns))
+    t.update(now.join(before, now.columns, "left_anti").join(before.select("k"), "k", "left_semi").select(*now.columns))
+    t.delete(before.select("k").join(now.select("k"), "k", "left_anti"))
+    tx.commit()
 
 
-def _versions(spark: SparkSession, sf_dir: str):
-    """A database whose branches main and side hold the clean triple."""
-    base, ours, theirs = three(spark, sf_dir, False)
+def _versions(spark: SparkSession, sf_dir: str, clashing: bool = False):
+    """A database whose branches main and side hold a triple."""
+    base, ours, theirs = three(spark, sf_dir, clashing)
     db = database(spark, "orders")
     s = db.session("q")
     tx = s.begin()
@@ -508,10 +607,7 @@ def _versions(spark: SparkSession, sf_dir: str):
     s.create_branch("side")
     for branch, rows in (("main", ours), ("side", theirs)):
         own = db.session("q", branch)
-        tx = own.begin()
-        t = tx.table("orders")
-        t._apply(rows.join(base, base.columns, "left_anti"), base.select("k").join(rows.select("k"), "k", "left_anti"))
-        tx.commit()
+        _write(own, rows, base)
         own.commit(branch)
     return db, s, first
 
@@ -523,6 +619,22 @@ def engine_branch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.at("main", "orders")
 
 
+@query(with_sides(True) + " SELECT k, s, p, r FROM ours")
+def engine_merge_abort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, s, _ = _versions(spark, sf_dir, True)
+    head, conflicts = s.merge("side")
+    if head is not None or conflicts is None:
+        raise RuntimeError("no conflict was found")
+    s.abort_merge()
+    return s.begin().table("orders").frame()
+
+
+@query(with_sides(True) + ", c AS (" + _CONFLICTS + """) SELECT CASE WHEN "column" IS NULL THEN '[[' || k || ']]' ELSE '[[' || k || '],' || "column" || ']' END AS location FROM c""")
+def engine_conflict_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, s, _ = _versions(spark, sf_dir, True)
+    return s.merge("side")[1].select("location")
+
+
 @query(with_sides(False) + _DIFF_CELLS)
 def engine_diff_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, s, first = _versions(spark, sf_dir)
@@ -535,22 +647,138 @@ def engine_time_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.at(first, "orders")
 
 
-@query("SELECT * FROM (VALUES (0, 'main'), (1, 'base'), (2, 'initial commit')) t(place, message)")
+@query(with_sides(False) + " SELECT 'tag' AS ref, * FROM base UNION ALL SELECT 'branch', * FROM theirs UNION ALL SELECT 'commit', * FROM ours")
+def engine_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db, s, first = _versions(spark, sf_dir)
+    db.create_tag("q", "v1", first)
+    refs = {"tag": "v1", "branch": "side", "commit": db.resolve("main")}
+    parts = [s.at(ref, "orders").select(F.lit(kind).alias("ref"), "*") for kind, ref in refs.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(with_sides(False) + """ SELECT k, CASE WHEN k % 4 = 0 THEN 'A' WHEN k % 4 = 1 THEN 'B' ELSE s END AS s, p, r FROM base""")
+def engine_item_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two transactions from one snapshot: of different rows both land, a third that wrote the first one's rows doesn't."""
+    base, _, _ = three(spark, sf_dir, False)
+    s = database(spark, "items").session("q")
+    tx = s.begin()
+    tx.create_table("orders", ORDERS).insert(base)
+    tx.commit()
+    open_ones = [s.begin() for _ in range(3)]
+    for tx, (rest, mark) in zip(open_ones, ((0, "A"), (1, "B"), (0, "C")), strict=True):
+        tx.table("orders").update(base.filter(F.col("k") % 4 == rest).withColumn("s", F.lit(mark)))
+    for tx in open_ones:
+        try:
+            tx.commit()
+        except SerializationError:
+            if tx is not open_ones[2]:
+                raise
+    return s.begin().table("orders").frame()
+
+
+def _kv_rows(df: DataFrame, kind: int, **value: F.Column) -> DataFrame:
+    return df.select(F.col("c_custkey").cast("string").cast("binary").alias("key"), *[(value[n] if n in value else F.lit(kind) if n == "kind" else F.lit(None)).cast(k).alias(n) for n, k in m.KV_COLUMNS.items()])
+
+
+@query("SELECT c_custkey::VARCHAR AS k, 1000 + CASE WHEN c_custkey % 2 = 0 THEN 5 ELSE 0 END + CASE WHEN c_custkey % 3 = 0 THEN 7 ELSE 0 END AS n FROM customer")
+def engine_counter_exemption(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two transactions add to the same counters from one snapshot; both additions count."""
+    c = _t(spark, sf_dir, "customer")
+    s = database(spark, "counters").session("q")
+    tx = s.begin()
+    tx.create_kv("hits").put(_kv_rows(c, m.COUNTER, counter=F.lit(1000)))
+    tx.commit()
+    both = [s.begin(), s.begin()]
+    for tx, step, more in zip(both, (2, 3), (5, 7), strict=True):
+        tx.kv("hits").put(_kv_rows(c.filter(F.col("c_custkey") % step == 0), m.COUNTER, counter=F.lit(1000 + more)))
+    for tx in both:
+        tx.commit()
+    return s.begin().kv("hits").frame().select(F.col("key").cast("string").alias("k"), F.col("counter").alias("n"))
+
+
+@query("SELECT n_nationkey::VARCHAR AS k, CASE WHEN n_nationkey % 2 = 0 THEN 'second' ELSE n_name END AS v FROM nation")
+def kv_put_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of one call with one key: the last counts."""
+    rows = [(str(r["n_nationkey"]).encode(), r["n_name"].encode()) for r in _t(spark, sf_dir, "nation").collect()]
+    rows += [(k, b"second") for k, _ in rows if int(k) % 2 == 0]
+    tx = database(spark, "last").session("q").begin()
+    names = tx.create_kv("names")
+    names.put([{"key": k, "kind": m.BYTES, "bytes": v} for k, v in rows])
+    return names.frame().select(F.col("key").cast("string").alias("k"), F.col("bytes").cast("string").alias("v"))
+
+
+@query("SELECT c_custkey::VARCHAR AS k, c_name AS v FROM customer WHERE c_custkey = 42")
+def kv_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tx = database(spark, "get").session("q").begin()
+    names = tx.create_kv("names")
+    names.put(_kv_rows(_t(spark, sf_dir, "customer"), m.BYTES, bytes=F.col("c_name").cast("binary")))
+    found = names.get(b"42")
+    return spark.createDataFrame([(found["key"].decode(), found["bytes"].decode())], "k string, v string")
+
+
+@query("SELECT event_id::VARCHAR AS id, CASE WHEN event_id % 10 = 3 THEN '{\"k\":[]}' ELSE '{\"k\":' || regexp_extract(props, '[0-9]+') || '}' END AS doc FROM events WHERE event_id % 10 <> 4")
+def document_put_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events").select(F.col("event_id").cast("string").cast("binary").alias("id"), F.col("props").alias("doc"), "event_id")
+    tx = database(spark, "documents").session("q").begin()
+    docs = tx.create_collection("events")
+    docs.put(e.select("id", "doc"))
+    docs.put(e.filter("event_id % 10 = 3").select("id", F.lit('{ "k" : [ ] }').alias("doc")))
+    docs.delete(e.filter("event_id % 10 = 4").select("id"))
+    return docs.scan().select(F.col("id").cast("string").alias("id"), "doc")
+
+
+@query("SELECT r_name AS path, CASE r_regionkey % 3 WHEN 0 THEN 'removed' WHEN 1 THEN 'modified' ELSE 'added' END AS kind FROM region")
+def namespace_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = {r["r_regionkey"]: r["r_name"] for r in _t(spark, sf_dir, "region").collect()}
+    s = database(spark, "names").session("q")
+    entry = {"key": b"k", "kind": m.BYTES, "bytes": b"1"}
+    tx = s.begin()
+    for i, name in names.items():
+        if i % 3 < 2:
+            tx.create_kv(name).put([entry])
+    tx.create_kv("same").put([entry])
+    tx.commit()
+    before = s.commit("before")
+    tx = s.begin()
+    for i, name in names.items():
+        if i % 3 == 0:
+            tx.drop(name)
+        elif i % 3 == 1:
+            tx.kv(name).put([entry | {"bytes": b"2"}])
+        else:
+            tx.create_kv(name)
+    tx.commit()
+    return s.diff_objects(before, s.commit("after"))
+
+
+@query("SELECT row_number() OVER (ORDER BY r_regionkey DESC) - 1 AS place, r_name AS message FROM region UNION ALL SELECT (SELECT count(*) FROM region), 'initial commit'")
 def log_newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, s, _ = _versions(spark, sf_dir)
-    return s.log().select("place", "message")
+    s = database(spark, "log").session("q")
+    for r in _t(spark, sf_dir, "region").orderBy("r_regionkey").collect():
+        s.commit(r["r_name"])
+    return s.log().select(F.col("place").cast("bigint").alias("place"), "message")
 
 
-@query("SELECT 'orders' AS name, 'table' AS kind")
+@query("SELECT r_name AS name, 'kv' AS kind FROM region WHERE r_regionkey % 2 = 0")
 def objects_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, s, _ = _versions(spark, sf_dir)
-    return s.objects_frame()
+    """What a principal may read: objects without a grant are left out."""
+    held = grants.Grants()
+    for permission in (grants.READ, grants.WRITE):
+        held.grant("q", permission)
+    db = database(spark, "objects", authorizer=held)
+    tx = db.session("q").begin()
+    for r in _t(spark, sf_dir, "region").collect():
+        tx.create_kv(r["r_name"])
+        if r["r_regionkey"] % 2 == 0:
+            held.grant("guest", grants.READ, grants.Scope(grants.OBJECT, "main", r["r_name"]))
+    tx.commit()
+    return db.session("guest").objects_frame()
 
 
-@query("SELECT 0 AS deleted, true AS readable")
+@query(with_sides(False) + " SELECT 'first' AS version, * FROM base UNION ALL SELECT 'side', * FROM theirs")
 def gc_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection without grace deletes what a rolled-back write left, and nothing that a version reaches."""
     db, s, first = _versions(spark, sf_dir)
     db.collect("q", 0)
-    deleted = db.collect("q", 0)
-    rows = s.at(first, "orders").count()
-    return spark.createDataFrame([(deleted, rows > 0)], "deleted int, readable boolean")
+    db.collect("q", 0)
+    return s.at(first, "orders").select(F.lit("first").alias("version"), "*").unionByName(s.at("side", "orders").select(F.lit("side").alias("version"), "*"))

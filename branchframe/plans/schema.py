@@ -127,7 +127,7 @@ def three_way(base, ours, theirs):
 def merge_schemas(base: Schema, ours: Schema, theirs: Schema) -> tuple[Schema | None, list[SchemaConflict]]:
     """One schema from two, by tag; or None and every conflict."""
     if not base.primary_key == ours.primary_key == theirs.primary_key:
-        return None, [SchemaConflict("schema", "the primary key changed; rows can't be matched across it")]
+        return None, [SchemaConflict("schema", "versions with unlike primary keys have no rows in common")]
     whole, clean = three_way(base, ours, theirs)
     if clean:
         return _fitting(whole, ours, theirs)
@@ -142,7 +142,7 @@ def merge_schemas(base: Schema, ours: Schema, theirs: Schema) -> tuple[Schema |
             if o is None or t is None:
                 left = o or t
                 if left is not None and left != b:
-                    found.append(SchemaConflict(f"{kind}{tag}", "dropped on one side and changed on the other"))
+                    found.append(SchemaConflict(f"{kind}{tag}", "one side removed the definition, the other edited it"))
                 continue
             merged, reason = merge_one(b, o, t)
             if reason:
@@ -152,7 +152,7 @@ def merge_schemas(base: Schema, ours: Schema, theirs: Schema) -> tuple[Schema |
         for tag in sorted((sides[1].keys() | sides[2].keys()) - sides[0].keys()):
             o, t = sides[1].get(tag), sides[2].get(tag)
             if o is not None and t is not None and o != t:
-                found.append(SchemaConflict(f"{kind}{tag}", "added differently on both sides"))
+                found.append(SchemaConflict(f"{kind}{tag}", "two unlike definitions under one new tag"))
             else:
                 out.append(o or t)
         return out
@@ -162,13 +162,13 @@ def merge_schemas(base: Schema, ours: Schema, theirs: Schema) -> tuple[Schema |
         for attribute, word in (("name", "name"), ("type", "type"), ("nullable", "nullability"), ("max_len", "length")):
             value, good = three_way(*(getattr(c, attribute) for c in (b, o, t)))
             if not good:
-                return b, f"the {word} changed differently on both sides"
+                return b, f"two unlike edits of the {word}"
             merged = replace(merged, **{attribute: value})
         return merged, ""
 
     def one_index(b: Index, o: Index, t: Index) -> tuple[Index, str]:
         value, good = three_way(b, o, t)
-        return value, "" if good else "changed differently on both sides"
+        return value, "" if good else "two unlike edits of the index"
 
     columns = members("schema/", lambda s: s.columns, one_column)
     present = {c.tag for c in columns}
@@ -184,7 +184,7 @@ def _fitting(merged: Schema, *sides: Schema) -> tuple[Schema | None, list[Schema
         for side in sides:
             check_alterable(side, merged)
     except InvalidError as error:
-        return None, [SchemaConflict("schema", f"the merged schema doesn't fit: {error}")]
+        return None, [SchemaConflict("schema", f"no row of both sides could be kept: {error}")]
     return merged, []
 
 

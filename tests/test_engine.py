@@ -1,13 +1,16 @@
 """Tables, maps, documents, transactions and versions on Spark."""
 
+import threading
+import time
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from branchframe.engine import grants as g
-from branchframe.engine.database import Database
+from branchframe.engine.database import Database, merge_objects
 from branchframe.errors import (
+    CancelledError,
     ClosedError,
     EngineError,
     ExistsError,
@@ -17,11 +20,14 @@ from branchframe.errors import (
     NotFoundError,
     PermissionDeniedError,
     SerializationError,
+    SessionLostError,
     WrongKindError,
 )
 from branchframe.functions.numeric import canonical_numeric
 from branchframe.operators import merge as m
 from branchframe.plans.schema import Column, Index, Schema
+from branchframe.sources import store as store_module
+from branchframe.sources.files import Files
 from branchframe.streaming.changefeed import append_changes, change_stream
 
 PEOPLE = Schema((Column(1, "id", "int8"), Column(2, "name", "varchar", False, 8), Column(3, "age", "int8", True)), (1,), (Index(10, (3,)),))
@@ -29,7 +35,7 @@ PEOPLE = Schema((Column(1, "id", "int8"), Column(2, "name", "varchar", False, 8)
 
 @pytest.fixture
 def db(spark, tmp_path):
-    return Database.create(spark, str(tmp_path / "db"), n_buckets=2)
+    return Database.create(spark, str(tmp_path / "db"), n_buckets=2, logger=print)
 
 
 @pytest.fixture
@@ -227,25 +233,174 @@ def test_grants_are_asked_on_every_call(spark, tmp_path):
         ann.begin()
 
 
-def test_collect_is_two_phase_and_spares_what_is_reachable(s, db):
+def test_collections_take_two_phases_and_only_what_nothing_reaches(s, db):
     tx = s.begin()
     tx.table("people").insert([(3, "gone", 1)])
     tx.rollback()
+    assert {f"data/{f}" for f in db.files.names("data")} == {f"data/{f}" for f in db.reachable()}  # a rollback leaves no rows
+    forgotten = s.begin()
+    forgotten.table("people").insert([(3, "gone", 1)])
     with pytest.raises(InvalidError):
         db.collect("ann", -1)
     assert db.collect("ann", 0) == 0
     assert db.collect("ann", 0) >= 1 and db.collect("ann", 0) == 0
     assert rows(s.begin().table("people").frame()) == [(1, "ada", 36), (2, "bob", 40)]
-    assert Database.open(db.spark, db.root).session("x").begin().table("people").frame().count() == 2
+    late = s.begin()
+    late.table("people").insert([(4, "late", 1)])
+    with pytest.raises(SessionLostError):
+        forgotten.commit()  # what it wrote was collected
+    with pytest.raises(SessionLostError):
+        late.commit()
+    assert rows(s.begin().table("people").frame()) == [(1, "ada", 36), (2, "bob", 40)]
+    again = Database.open(db.spark, db.root, n_buckets=2).session("ann").begin()
+    again.table("people").insert([(4, "late", 1)])
+    again.commit()
+    assert Database.open(db.spark, db.root).session("x").begin().table("people").frame().count() == 3
 
 
-def test_equal_buckets_are_never_read(s, db):
+def test_diffs_and_merges_read_change_folders_only(s, db):
+    before = s.db.state("main").head
+    s.create_branch("side")
+    for branch, row in (("main", (1, "ada", 37)), ("side", (2, "rob", 40))):
+        tx = db.session("ann", branch).begin()
+        tx.table("people").update([row])
+        tx.commit()
+        db.session("ann", branch).commit("edit")
+    entries = [db.commit_objects(db.resolve(r))["people"] for r in (before, "main", "side")]
+    assert db.store.fork(*entries) == 0 and [len(e.pending) for e in entries] == [0, 1, 1]
+    assert all("/changes/" in f for f in s.diff(before, "main", "people").inputFiles())
+    assert s.merge("side")[1] is None
+    merged = db.state("main").objects["people"]
+    assert len(merged.deltas) == 2 and merged.buckets == entries[0].buckets and rows(db.store.read(merged)) == [(1, "ada", 37), (2, "rob", 40)]
+    folded = db.store.fold(merged)
+    assert not folded.pending and rows(db.store.read(folded)) == rows(db.store.read(merged)) and db.store.fork(entries[0], folded) == 0
+    plain = db.store.write(db.store.empty("table", PEOPLE), db.store.read(merged))
+    assert (plain.rows, plain.digest) == (merged.rows, merged.digest) == (folded.rows, folded.digest)  # digests kept up to date equal those of a whole write
+    other = db.store.write(db.store.empty("table", PEOPLE), db.store.read(entries[0]))  # of no common base: read as a whole
+    assert db.store.fork(other, merged) is None
+    entry, found = merge_objects(db.store, other, merged, other)
+    assert found is None and rows(db.store.read(entry)) == rows(db.store.read(merged))
+
+
+def test_changes_fold_and_buckets_split(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "PENDING", 3)
+    monkeypatch.setattr(store_module, "BUCKET_ROWS", 5)
+    monkeypatch.setattr(store_module, "HISTORY", 4)
+    t = Database.create(spark, str(tmp_path / "db"), n_buckets=1).session("ann").begin().create_table("people", PEOPLE)
+    held = {}
+    for i in range(5):
+        new = [(8 * i + k, f"n{k}", i) for k in range(8)]
+        t.insert(new)
+        held |= {r[0]: r for r in new}
+        t.delete([8 * i])
+        del held[8 * i]
+        assert rows(t.frame()) == sorted(held.values()) and t.validate() == {"rows": len(held), "recorded": len(held), "broken": 0, "twice": 0}
+    assert t.entry.n_buckets == 4 and t.entry.skipped > 0 and t.get(9) is not None and t.get(8) is None
+
+
+def test_keys_come_once_and_values_keep_their_rules(s):
     tx = s.begin()
-    tx.table("people").update([(1, "ada", 37)])
+    t, cache, users = tx.table("people"), tx.kv("cache"), tx.collection("users")
+    t.update([(1, "one", 1), (2, "two", 2), (1, "last", 3)])
+    assert rows(t.frame()) == [(1, "last", 3), (2, "two", 2)]
+    twice = t.frame().unionByName(t.frame())
+    with pytest.raises(InvalidError):
+        t.update(twice)
+    cache.put([kv("k", m.BYTES, bytes=b"1"), kv("k", m.BYTES, bytes=b"2"), kv("tags", m.SET, members=[(b"b", Decimal(2)), (b"a", Decimal(1))])])
+    assert bytes(cache.get(b"k")["bytes"]) == b"2" and [bytes(x["elem"]) for x in cache.get(b"tags")["members"]] == [b"a", b"b"]
+    users.put([(b"u9", "1"), (b"u9", "[2 ]")])
+    assert users.get(b"u9")["doc"] == "[2]"
+    wrong = [
+        kv("x", 9), kv("x", m.BYTES), kv("x", m.BYTES, bytes=b"1", counter=1), kv("x", m.COUNTER), kv("k" * 4097, m.BYTES, bytes=b""), kv("x", m.BYTES, bytes=b"v" * 262_145),
+        kv("x", m.HASH, fields=[(b"n", b"1"), (b"n", b"2")]), kv("x", m.SORTED_SET, scores=[(float("nan"), b"a", Decimal(1))]), kv("x", m.SET, members=[(b"e" * 4097, Decimal(1))]),
+        kv("x", m.SEQUENCE, seq=[b""] * 65_537), kv("x", m.SET, members=[(b"a", Decimal(1)), (b"a", Decimal(1))]),
+    ]
+    for value in wrong:
+        with pytest.raises(InvalidError):
+            cache.put([kv("fine", m.BYTES, bytes=b"1"), value])
+    assert cache.get(b"fine") is None
+    for handle in (t, cache, users):
+        assert handle.validate()["broken"] == handle.validate()["twice"] == 0
+
+
+def test_renames_write_no_rows_and_old_tags_start_empty(s, db):
+    tx = s.begin()
+    t = tx.table("people")
+    t.update([(1, "ada", 5)])
+    before = len(db.files.names("data"))
+    t.alter(Schema((Column(1, "id", "int8"), Column(2, "label", "text"), Column(4, "more", "text", True)), (1,)))
+    assert rows(t.frame()) == [(1, "ada", None), (2, "bob", None)] and len(db.files.names("data")) <= before + 1  # pending changes are folded
+    folders = t.entry.folders
+    t.alter(Schema((Column(1, "id", "int8"), Column(2, "name", "text"), Column(4, "more", "text", True)), (1,)))
+    assert t.entry.folders == folders
+    t.alter(Schema((Column(1, "id", "int8"), Column(2, "name", "text"), Column(3, "age", "int8", True)), (1,)))  # the tag had values once
+    assert rows(t.frame()) == [(1, "ada", None), (2, "bob", None)]
     tx.commit()
-    before, _ = s.db.state("main"), s.commit("edit")
-    a, b = s.db.commit_objects(s.db.commit_info(s.db.state("main").head)["parents"][0])["people"], s.db.state("main").objects["people"]
-    assert len(db.store.differing(a, b)) == 1 and before.version >= 1
+
+
+def test_merge_bases_of_forks_criss_crosses_and_long_histories(spark, tmp_path):
+    db = Database.create(spark, str(tmp_path / "db"))
+    commit = lambda *parents: db._commit_record(list(parents), "ann", "c", {})
+    root = commit()
+    a, b = commit(root), commit(root)
+    assert db.merge_base(a, b) == root and db.merge_base(a, a) == a and db.merge_base(root, a) == root and db.merge_base(commit(), a) is None
+    x, y = commit(a, b), commit(b, a)  # criss-cross: both a and b are bases
+    assert db.merge_base(x, y) == min(a, b) and db.merge_base(commit(x), commit(y, x)) == x
+    tip = root
+    for _ in range(2000):
+        tip = commit(tip)
+    side = commit(tip)
+    reads = []
+    fresh = Database.open(spark, db.root)
+    keep = fresh.files.read
+    fresh.files.read = lambda name: reads.append(name) or keep(name)
+    assert fresh.merge_base(commit(tip), side) == tip and fresh.reaches(side, tip) and len(reads) < 10
+    assert fresh.merge_base(side, a) == root and len(reads) < 2020 and not fresh.reaches(a, side)
+
+
+def test_only_one_of_many_writers_creates_a_file_and_no_one_sees_a_part(spark, tmp_path):
+    files = Files(spark, str(tmp_path))
+    won = []
+    threads = [threading.Thread(target=lambda i=i: won.append(files.create("log/1.json", {"by": i, "pad": "x" * 100_000}))) for i in range(8)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(won) == [False] * 7 + [True] and files.names("log") == ["1.json"] and len(files.read("log/1.json")["pad"]) == 100_000
+    (tmp_path / "log" / ".2.json-torn").write_text('{"half')  # a writer that died
+    assert files.names("log") == ["1.json"] and files.create("log/2.json", {}) and not files.create("log/2.json", {})
+
+
+def test_commits_take_turns_and_can_give_up(s, db):
+    tx = s.begin()
+    tx.table("people").update([(1, "ada", 1)])
+    waits = db.session("bob").begin()
+    waits.table("people").update([(2, "bob", 2)])
+    lock, outcome = db.lock("main"), []
+    lock.acquire()
+    leader = threading.Thread(target=tx.commit)
+    leader.start()
+    while db.queue("main")._waiting or not db.queue("main")._led:
+        time.sleep(0.01)
+    with pytest.raises(CancelledError):
+        waits.commit(timeout=0.2)
+    recording = threading.Thread(target=lambda: outcome.append(s.commit("after")))
+    recording.start()
+    lock.release()
+    leader.join()
+    recording.join()
+    assert rows(s.at(outcome[0], "people")) == [(1, "ada", 1), (2, "bob", 40)]
+
+
+def test_merges_of_large_sets_take_seconds(spark):
+    n = 65_536
+    ids = spark.range(n).select(F.col("id").cast("string").cast("binary").alias("e"), F.col("id").cast("decimal(20,0)").alias("t"))
+    value = lambda rule: ids.filter(rule).agg(F.sort_array(F.collect_list(F.struct(F.col("e").alias("elem"), F.col("t").alias("tag")))).alias("members")).select(
+        F.lit(b"k").alias("key"), *[(F.col("members") if c == "members" else F.lit(m.SET) if c == "kind" else F.lit(None)).cast(k).alias(c) for c, k in m.KV_COLUMNS.items()])
+    began = time.time()
+    merged = m.merge_kv(value("t % 3 <> 0"), value("t % 3 <> 0 AND t % 5 <> 1"), value("t % 7 <> 2")).rows
+    got = merged.select(F.size("members")).first()[0]
+    assert got == sum(1 for t in range(n) if (t % 3 and t % 5 != 1 and t % 7 != 2) or (not t % 3 and t % 7 != 2)) and time.time() - began < 30
 
 
 def test_change_feed_streams(s, spark, tmp_path):
@@ -293,8 +448,6 @@ def test_numeric_bounds(spark):
 
 
 def test_waiting_transactions_share_swaps_and_fail_alone(s, db):
-    import threading
-
     people = [(1, "ada", 50), (2, "bob", 51), (1, "ada", 52)]
     txns = []
     for row in people:

@@ -1,200 +1,425 @@
-"""Parts that need no Spark: schemas, JSON text, sequences, trees, grants."""
+"""Parts that need no Spark, held against rules stated here: exhaustive small alphabets, generated schemas, lists and trees."""
 
+import json
+import re
 from dataclasses import replace
+from itertools import product
 
 import pytest
-from hypothesis import given
+from hypothesis import assume, given, settings
 from hypothesis import strategies as st
 
 from branchframe.engine import grants as g
-from branchframe.errors import EngineError, InvalidError, NotFoundError, PermissionDeniedError, scrub
+from branchframe.errors import CancelledError, EngineError, InvalidError, PermissionDeniedError, WrongKindError, guarded, scrub
+from branchframe.functions import jsontext
 from branchframe.functions.locations import Location, encode_location, parse_location
-from branchframe.functions.jsontext import Number, encode, parse
-from branchframe.operators.sequence import align, merge_sequences, merge_trees
-from branchframe.plans.schema import Column, Index, Schema, check_alterable, merge_schemas
-
-PEOPLE = Schema((Column(1, "id", "int8"), Column(2, "name", "text"), Column(3, "age", "int4", True), Column(4, "email", "varchar", False, 255)), (1,), (Index(10, (3,)),))
-PHONE = Column(5, "phone", "text", True)
-
-
-def put(schema, *columns, drop=(), indexes=None):
-    new = {c.tag: c for c in schema.columns if c.tag not in drop} | {c.tag: c for c in columns}
-    return replace(schema, columns=tuple(new.values()), indexes=schema.indexes if indexes is None else tuple(indexes))
-
-
-SCHEMA_CASES = {
-    "key changed on both sides": (replace(PEOPLE, primary_key=(2,)), replace(PEOPLE, primary_key=(2,)), ["schema"]),
-    "key changed on one side": (PEOPLE, replace(PEOPLE, primary_key=(2,)), ["schema"]),
-    "a NOT NULL column added on one side": (PEOPLE, put(PEOPLE, Column(6, "must", "bool")), ["schema"]),
-    "dropped here, changed there": (put(PEOPLE, drop=(4,)), put(PEOPLE, Column(4, "email", "varchar", False, 300)), ["schema/4"]),
-    "a column added": (PEOPLE, put(PEOPLE, PHONE), []),
-    "the same column added on both sides": (put(PEOPLE, PHONE), put(PEOPLE, PHONE), []),
-    "added differently": (put(PEOPLE, PHONE), put(PEOPLE, Column(5, "phone", "int8", True)), ["schema/5"]),
-    "renamed differently": (put(PEOPLE, Column(2, "full_name", "text")), put(PEOPLE, Column(2, "display_name", "text")), ["schema/2"]),
-    "widened on one side": (PEOPLE, put(PEOPLE, Column(3, "age", "int8", True)), []),
-    "length here, nullability there": (put(PEOPLE, Column(4, "email", "varchar", False, 300)), put(PEOPLE, Column(4, "email", "varchar", True, 255)), []),
-    "length changed differently": (put(PEOPLE, Column(4, "email", "varchar", False, 300)), put(PEOPLE, Column(4, "email", "varchar", False, 400)), ["schema/4"]),
-    "dropped here, untouched there": (put(PEOPLE, drop=(4,)), put(PEOPLE, PHONE), []),
-    "an index added": (PEOPLE, replace(PEOPLE, indexes=(*PEOPLE.indexes, Index(11, (2,)))), []),
-    "an index dropped here, changed there": (replace(PEOPLE, indexes=()), replace(PEOPLE, indexes=(Index(10, (2,)),)), ["schema/index/10"]),
-    "an index changed differently": (replace(PEOPLE, indexes=(Index(10, (2,)),)), replace(PEOPLE, indexes=(Index(10, (4,)),)), ["schema/index/10"]),
-    "an index loses its column": (put(PEOPLE, drop=(3,), indexes=()), put(PEOPLE, PHONE), []),
-}
-
-
-@pytest.mark.parametrize("name", SCHEMA_CASES)
-def test_schemas_merge_by_tag(name):
-    ours, theirs, want = SCHEMA_CASES[name]
-    for a, b in ((ours, theirs), (theirs, ours)):
-        merged, clashes = merge_schemas(PEOPLE, a, b)
-        assert [c.location for c in clashes] == want
-        assert (merged is None) == bool(want)
-
-
-def test_merged_schema_has_both_changes():
-    merged, _ = merge_schemas(PEOPLE, *SCHEMA_CASES["length here, nullability there"][:2])
-    assert merged.column(4) == Column(4, "email", "varchar", True, 300)
-    merged, _ = merge_schemas(PEOPLE, *SCHEMA_CASES["an index loses its column"][:2])
-    assert merged.column(3) is None and merged.column(5) == PHONE and merged.indexes == ()
-
-
-@pytest.mark.parametrize("bad", [
-    Schema(()), put(PEOPLE, Column(0, "x", "text")), put(PEOPLE, Column(5, "name", "text")), put(PEOPLE, Column(5, "", "text")), put(PEOPLE, Column(5, "n" * 129, "text")),
-    put(PEOPLE, Column(5, "x", "money")), put(PEOPLE, Column(5, "x", "varchar")), put(PEOPLE, Column(5, "x", "text", False, 9)), replace(PEOPLE, primary_key=(9,)), replace(PEOPLE, primary_key=(3,)),
-    replace(PEOPLE, primary_key=(1, 1)), replace(PEOPLE, indexes=(Index(1, ()),)), replace(PEOPLE, indexes=(Index(1, (99,)),)), replace(PEOPLE, indexes=(Index(1, (2, 2)),)),
-])
-def test_invalid_schemas_are_refused(bad):
-    PEOPLE.validate()
-    with pytest.raises(InvalidError):
-        bad.validate()
-
-
-def test_alterable():
-    check_alterable(PEOPLE, put(PEOPLE, Column(2, "full_name", "text"), Column(3, "age", "int8", True), PHONE, drop=(4,)))
-    for bad in (put(PEOPLE, Column(1, "id", "int4")), put(PEOPLE, Column(3, "age", "int2", True)), put(PEOPLE, Column(6, "must", "bool")), replace(PEOPLE, primary_key=(2,))):
+from branchframe.operators.sequence import MAX_SEQUENCE_EDITS, align, merge_sequences, merge_trees
+from branchframe.plans.schema import _WIDER, TYPES, Column, Index, Schema, check_alterable, merge_schemas
+
+# Schemas: generated ones, and edits of one attribute each
+
+_KINDS = sorted(set(TYPES) - {"varchar"})
+
+
+@st.composite
+def schemas(draw):
+    n = draw(st.integers(2, 5))
+    columns = [Column(1, "key", "int8")]
+    for tag in range(2, n + 1):
+        kind = draw(st.sampled_from(["int2", "int4", "float4", "varchar", "bytea"]))
+        columns.append(Column(tag, f"col{tag}", kind, draw(st.booleans()), 40 if kind == "varchar" else 0))
+    indexes = tuple(Index(100 + t, (t,)) for t in draw(st.sets(st.integers(2, n), max_size=2)))
+    return Schema(tuple(columns), (1,), indexes)
+
+
+def edited(schema, tag, attribute, value):
+    return replace(schema, columns=tuple(replace(c, **{attribute: value}) if c.tag == tag else c for c in schema.columns))
+
+
+@st.composite
+def edits(draw, schema):
+    """An edit as (what it touches, the schema after it); what both sides may do at once touches different things."""
+    column = draw(st.sampled_from(schema.columns[1:]))
+    wider = sorted(b for a, b in _WIDER if a == column.type)
+    choice = draw(st.sampled_from(["name", "nullable", "new", "index", *(["type"] if wider else []), *(["max_len"] if column.type == "varchar" else [])]))
+    if choice == "name":
+        return (column.tag, "name"), edited(schema, column.tag, "name", f"col{column.tag}{draw(st.sampled_from('xyz'))}")
+    if choice == "nullable":
+        return (column.tag, "nullable"), edited(schema, column.tag, "nullable", not column.nullable)
+    if choice == "type":
+        kind = draw(st.sampled_from(wider))
+        changed = edited(schema, column.tag, "type", kind)
+        return (column.tag, "type"), edited(changed, column.tag, "max_len", 0) if column.type == "varchar" else changed
+    if choice == "max_len":
+        return (column.tag, "type"), edited(schema, column.tag, "max_len", draw(st.integers(41, 60)))
+    if choice == "new":
+        tag = draw(st.integers(20, 22))
+        return (tag, "new"), replace(schema, columns=(*schema.columns, Column(tag, f"new{tag}", draw(st.sampled_from(_KINDS)), True)))
+    tag = draw(st.integers(200, 202))
+    return (tag, "index"), replace(schema, indexes=(*schema.indexes, Index(tag, (column.tag,))))
+
+
+@given(st.data())
+def test_edits_of_different_things_all_land(data):
+    base = data.draw(schemas())
+    (at, ours), (there, theirs) = data.draw(edits(base)), data.draw(edits(base))
+    merged, clashes = merge_schemas(base, ours, theirs)
+    if at != there:
+        assert not clashes
+        for column in merged.columns:
+            b, o, t = (s.column(column.tag) for s in (base, ours, theirs))
+            if b is None:
+                assert column == (o or t)
+                continue
+            for attribute in ("name", "type", "nullable", "max_len"):
+                versions = [getattr(x, attribute) for x in (b, o, t)]
+                assert getattr(column, attribute) == (versions[1] if versions[1] != versions[0] else versions[2])
+        assert {x.tag for x in merged.indexes} == {x.tag for s in (ours, theirs) for x in s.indexes}
+    elif ours == theirs:
+        assert merged == ours and not clashes
+    else:
+        place = f"schema/index/{at[0]}" if at[1] == "index" else f"schema/{at[0]}"
+        assert merged is None and [c.location for c in clashes] == [place] and all(c.reason for c in clashes)
+
+
+@given(st.data())
+def test_one_sided_edits_win_and_sides_may_swap(data):
+    base = data.draw(schemas())
+    _, ours = data.draw(edits(base))
+    _, theirs = data.draw(edits(base))
+    assert merge_schemas(base, ours, base)[0] == ours and merge_schemas(base, base, theirs)[0] == theirs
+    there, back = merge_schemas(base, ours, theirs), merge_schemas(base, theirs, ours)
+    assert [c.location for c in there[1]] == [c.location for c in back[1]]
+    if there[0] is not None:
+        assert sorted(map(repr, there[0].columns)) == sorted(map(repr, back[0].columns))
+
+
+@given(st.data())
+def test_a_dropped_column_takes_its_index_and_clashes_with_its_edit(data):
+    base = data.draw(schemas())
+    gone = data.draw(st.sampled_from(base.columns[1:])).tag
+    ours = replace(base, columns=tuple(c for c in base.columns if c.tag != gone), indexes=tuple(x for x in base.indexes if gone not in x.columns))
+    at, theirs = data.draw(edits(base))
+    merged, clashes = merge_schemas(base, ours, theirs)
+    if at[0] == gone and at[1] != "index":
+        assert merged is None and [c.location for c in clashes] == [f"schema/{gone}"]
+    else:
+        assert not clashes and merged.column(gone) is None and all(gone not in x.columns for x in merged.indexes)
+
+
+@given(schemas(), schemas())
+def test_other_keys_and_required_new_columns_have_no_merge(base, other):
+    required = replace(base, columns=(*base.columns, Column(30, "must", "bool")))
+    assert [c.location for c in merge_schemas(base, base, required)[1]] == ["schema"]
+    moved = replace(edited(base, 2, "nullable", False), primary_key=(2,))
+    assert [c.location for c in merge_schemas(base, base, moved)[1]] == ["schema"]
+
+
+@given(schemas())
+def test_what_no_table_can_be(base):
+    base.validate()
+    column = base.columns[-1]
+    spoiled = [
+        replace(base, columns=()), replace(base, columns=(*base.columns, replace(column, name="twin"))), replace(base, columns=(*base.columns, replace(column, tag=9))),
+        edited(base, column.tag, "tag", 0), edited(base, column.tag, "name", ""), edited(base, column.tag, "name", "é" * 65), edited(base, column.tag, "type", "decimal"),
+        edited(edited(base, column.tag, "type", "varchar"), column.tag, "max_len", 0), edited(edited(base, column.tag, "type", "text"), column.tag, "max_len", 5),
+        replace(base, primary_key=(1, 1)), replace(base, primary_key=(77,)), replace(edited(base, column.tag, "nullable", True), primary_key=(column.tag,)),
+        replace(base, indexes=(Index(7, ()),)), replace(base, indexes=(Index(7, (1, 1)),)), replace(base, indexes=(Index(7, (88,)),)), replace(base, indexes=tuple(Index(i + 1, (1,)) for i in range(65))),
+    ]
+    for bad in spoiled:
         with pytest.raises(InvalidError):
-            check_alterable(PEOPLE, bad)
+            bad.validate()
 
 
-@pytest.mark.parametrize(("given_text", "want"), [
-    ('{"b": 1, "a": [true, false, null]}', '{"a":[true,false,null],"b":1}'), ("  {\n\t\"z\" : \"tab\\tquote\\\"\" }\n", '{"z":"tab\\tquote\\""}'),
-    ('{"n": [1.0, 1e2, -0, 0.5e1, 12.340, 1E-2]}', '{"n":[1,100,0,5,12.34,0.01]}'), ('"é😀\\u0001"', '"é😀\\u0001"'), ('[{}, [], "", 0]', '[{},[],"",0]'),
-    ("-12345678901234567890", "-12345678901234567890"), ("1e3", "1000"), ('{"nested": {"deep": {"er": [1, {"x": "y"}]}}}', '{"nested":{"deep":{"er":[1,{"x":"y"}]}}}'),
-])
-def test_canonical_json(given_text, want):
-    assert encode(parse(given_text)) == want
-    assert encode(parse(want)) == want
+def test_only_listed_types_widen():
+    for old, new in product(sorted(TYPES), sorted(TYPES)):
+        sides = [Schema((Column(1, "key", "int8"), Column(2, "x", kind, True, 9 if kind == "varchar" else 0)), (1,)) for kind in (old, new)]
+        if old == new or (old, new) in _WIDER:
+            check_alterable(*sides)
+        else:
+            with pytest.raises(InvalidError):
+                check_alterable(*sides)
 
 
-@pytest.mark.parametrize("bad", [
-    "", "   ", '{"a": 1', '{"a": 1} x', "1 2", '{"a": 1, "a": 2}', "nope", "01", "1.", ".5", "+1", "0x10", "NaN", "1e", "1e100000000", '"\\q"', '"\\u12"', '"\\ud83d"', '"\\ude00"',
-    '"\\ud83d\\u0041"', b'"\xff"', '"a\x01b"', "'a'", "[1,]", '{"a": 1 /* c */}', "[" * 65 + "]" * 65, '"' + "x" * (1 << 20) + '"', '"x"' + " " * (1 << 20), "1e1001", "1e-1001", "[" * 100000,
-])
-def test_what_is_no_document_is_refused(bad):
-    assert parse('{"ok": true}') == {"ok": True}
-    parse("[" * 64 + "]" * 64)
-    with pytest.raises(InvalidError):
-        parse(bad)
+# JSON: all short numbers, and generated documents in odd spellings
 
+_GRAMMAR = re.compile(r"-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?")
 
-@pytest.mark.parametrize(("base", "ours", "theirs", "want", "conflict", "flag"), [
-    ("a b c", "a b c d", "a x b c", "a x b c d", None, None), ("a b c", "a c", "a b c", "a c", None, None), ("a b c", "a x c", "a x c", "a x c", None, None),
-    ("a b c", "a b c d", "a b c e", "a b c d e", None, "3"), ("a b c", "a b c e", "a b c d", "a b c d e", None, "3"), ("a", "z a", "y a", "y z a", None, "0"),
-    ("a b c", "a x c", "a y c", "a b c", "1", None), ("a b c", "a c", "a y c", "a b c", "1", None), ("a b", "", "", "", None, None),
-])
-def test_sequences_merge_by_identity_and_position(base, ours, theirs, want, conflict, flag):
-    got = merge_sequences(base.split(), ours.split(), theirs.split())
-    assert " ".join(got.value) == want
-    assert [p for p, _ in got.conflicts] == ([(conflict,)] if conflict else [])
-    assert [p for p, _ in got.flagged] == ([(flag,)] if flag else [])
 
+def test_numbers_are_what_the_grammar_says():
+    for size in range(1, 5):
+        for letters in product("019.eE+-", repeat=size):
+            text = "".join(letters)
+            if _GRAMMAR.fullmatch(text):
+                mantissa, _, exponent = text.lower().partition("e")
+                value = jsontext.encode(jsontext.parse(text))
+                assert _GRAMMAR.fullmatch(value) and "e" not in value and jsontext.encode(jsontext.parse(value)) == value
+                if abs(int(exponent or 0)) < 300:
+                    assert float(value) == pytest.approx(float(text)) and not value.endswith(".0") and value != "-0"
+            else:
+                with pytest.raises(InvalidError):
+                    jsontext.parse(text)
 
-letters = st.lists(st.sampled_from("abcd"), max_size=6)
 
+_LETTERS = st.text(st.characters(exclude_categories=["Cs"]), max_size=6)
+_VALUES = st.recursive(st.none() | st.booleans() | st.integers(-(10**12), 10**12) | _LETTERS, lambda x: st.lists(x, max_size=4) | st.dictionaries(_LETTERS, x, max_size=4), max_leaves=12)
 
-@given(letters, letters, letters)
-def test_sequence_laws(base, ours, theirs):
-    assert merge_sequences(base, ours, base).value == ours
-    assert merge_sequences(base, base, theirs).value == theirs
-    a, b = merge_sequences(base, ours, theirs), merge_sequences(base, theirs, ours)
-    assert (a.value, len(a.conflicts), len(a.flagged)) == (b.value, len(b.conflicts), len(b.flagged))
 
+def plain(value):
+    """What is expected of a Python value: fields by the bytes of their names, nothing between tokens."""
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{plain(k)}:{plain(value[k])}" for k in sorted(value, key=str.encode)) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(plain, value)) + "]"
+    return json.dumps(value, ensure_ascii=False)
 
-@given(letters, letters)
-def test_alignment_is_a_longest_common_subsequence(a, b):
+
+@given(_VALUES, st.booleans(), st.sampled_from([None, 1, 3]))
+def test_every_spelling_of_a_document_has_one_canonical_text(value, ascii_only, indent):
+    text = json.dumps(value, ensure_ascii=ascii_only, indent=indent)
+    canonical = jsontext.encode(jsontext.parse(f" \n\t{text}\r "))
+    assert json.loads(canonical) == value and jsontext.encode(jsontext.parse(canonical)) == canonical
+    assert canonical.replace("\\u007f", "\x7f") == plain(value).replace("\\u007f", "\x7f")
+
+
+@given(st.dictionaries(_LETTERS, _VALUES, min_size=1, max_size=3), st.data())
+def test_parts_and_blends_of_documents_are_none(value, data):
+    text = json.dumps(value)
+    for bad in (text[: data.draw(st.integers(0, len(text) - 1))], text + data.draw(st.sampled_from("{}[],:x1")), text[1:], f"[{text},]", f"{text}//", "{" + text[1:-1] + "," + text[1:-1] + "}"):
+        with pytest.raises(InvalidError):
+            jsontext.parse(bad)
+
+
+def test_limits_of_documents():
+    deep = jsontext.MAX_DEPTH
+    jsontext.parse("[" * deep + "]" * deep)
+    jsontext.parse('{"k":' * deep + "0" + "}" * deep)
+    tail = "1" * 1000
+    assert jsontext.encode(jsontext.parse(tail)) == tail
+    wrong = ["[" * (deep + 1) + "]" * (deep + 1), tail + "1", "7e1000", "7e-1001", "7e999999999", '"' + "y" * (1 << 20) + '"', "0" + " " * (1 << 20)]
+    lone = [rf'"\u{a:04x}"' for a in (0xD800, 0xDBFF, 0xDC00, 0xDFFF)] + [r'"\uD834x"', r'"\ud834 "', r'"\u00g0"', r'"\x41"']
+    for bad in [*wrong, *lone, b'["\xc3"]', b'"\xed\xa0\x80"', '"\x1f"', "True", "Infinity", "-Infinity", "nul", "'q'", "{1:2}", "[1 2]", "{}{}"]:
+        with pytest.raises(InvalidError):
+            jsontext.parse(bad)
+
+
+# Lists
+
+short = st.lists(st.sampled_from("pqr"), max_size=7)
+
+
+@given(short, short)
+def test_alignment_is_as_long_as_can_be(a, b):
     found = sorted(align(a, b).items())
-    assert all(a[i] == b[j] for i, j in found) and [j for _, j in found] == sorted({j for _, j in found})
-    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i, x in enumerate(a):
-        for j, y in enumerate(b):
-            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
-    assert len(found) == table[-1][-1]
-
-
-def test_sequences_past_the_edit_budget_conflict_at_the_list():
-    base = [f"b{i}" for i in range(600)]
-    at, past = [f"o{i}" for i in range(400)] + base, [f"o{i}" for i in range(1001)] + base
-    theirs = [*base, "t"]
-    assert merge_sequences(base, at, theirs).value == [*at, "t"]
-    assert merge_sequences(base, [f"o{i}" for i in range(1000)] + base, theirs).conflicts == []
-    got = merge_sequences(base, past, theirs)
-    assert got.value == base and [p for p, _ in got.conflicts] == [()]
-
-
-N = Number
-
-
-@pytest.mark.parametrize(("base", "ours", "theirs", "want", "conflict", "flag"), [
-    ({"a": N(1), "b": N(2)}, {"a": N(10), "b": N(2)}, {"a": N(1), "b": N(20)}, {"a": N(10), "b": N(20)}, None, None),
-    ({"o": {"x": N(1), "y": N(1)}}, {"o": {"x": N(2), "y": N(1)}}, {"o": {"x": N(1), "y": N(2)}}, {"o": {"x": N(2), "y": N(2)}}, None, None),
-    ({"a": "old"}, {"a": "new"}, {"a": "new"}, {"a": "new"}, None, None), ({"a": N(1)}, {"a": N(2)}, {"a": N(3)}, {"a": N(1)}, ("a",), None),
-    ({"a": N(1), "b": N(1)}, {"b": N(1)}, {"a": N(2), "b": N(1)}, {"a": N(1), "b": N(1)}, ("a",), None), ({"a": N(1), "b": N(1)}, {"b": N(1)}, {"a": N(1), "b": N(1)}, {"b": N(1)}, None, None),
-    ({}, {"a": N(1)}, {"b": N(2)}, {"a": N(1), "b": N(2)}, None, None), ({}, {"a": N(1)}, {"a": N(2)}, {}, ("a",), None), ({"n": N(5)}, {"n": N(7)}, {"n": N(6)}, {"n": N(8)}, None, None),
-    ({"l": ["a", "b"]}, {"l": ["a", "b", "c"]}, {"l": ["a", "b", "d"]}, {"l": ["a", "b", "c", "d"]}, None, ("l", "2")), (N(1), N(2), N(3), N(1), (), None),
-    ({"n": N(5)}, {"n": N("7.5")}, {"n": N(6)}, {"n": N(5)}, ("n",), None), ({}, {"n": True}, {"n": False}, {}, ("n",), None), ({}, {"l": ["a"]}, {"l": ["b"]}, {}, ("l",), None),
-])
-def test_trees_merge_by_path(base, ours, theirs, want, conflict, flag):
-    got = merge_trees(base, ours, theirs, lambda path: path == ("n",))
-    assert got.value == want
-    assert [p for p, _ in got.conflicts] == ([conflict] if conflict is not None else [])
-    assert [p for p, _ in got.flagged] == ([flag] if flag else [])
-
-
-def test_grants_deny_by_default_and_imply_nothing():
-    grants = g.Grants()
-    asked = g.Question(g.WRITE, "main", "people")
-    assert not grants.allows("ann", asked)
-    grants.grant("ann", g.WRITE, g.Scope(g.OBJECT, "main", "people"))
-    assert grants.allows("ann", asked) and grants.allows("ann", g.Question(g.WRITE, "main"))
-    assert not grants.allows("ann", g.Question(g.READ, "main", "people")) and not grants.allows("ann", g.Question(g.WRITE, "main", "other"))
-    grants.protect("main")
-    assert not grants.allows("ann", asked)
-    grants.unprotect("main")
-    grants.revoke("ann", g.WRITE, g.Scope(g.OBJECT, "main", "people"))
-    with pytest.raises(PermissionDeniedError):
-        grants.ask("ann", asked)
-    for permission, scope in ((g.ADMIN, g.Scope(g.BRANCH, "main")), (g.COMMIT, g.Scope(g.OBJECT, "main", "x")), (g.READ, g.Scope(g.OBJECT, "main"))):
+    assert all(a[i] == b[j] for i, j in found) and all(x < y for (_, x), (_, y) in zip(found, found[1:], strict=False))
+    longest = {(): 0}
+
+    def common(x, y):
+        if not x or not y:
+            return 0
+        if (x, y) not in longest:
+            longest[x, y] = max(common(x[1:], y), common(x, y[1:]), 1 + common(x[1:], y[1:]) if x[0] == y[0] else 0)
+        return longest[x, y]
+
+    assert len(found) == common(tuple(a), tuple(b))
+
+
+@given(short, short, short)
+def test_lists_keep_the_laws_of_merging(base, ours, theirs):
+    assert merge_sequences(base, ours, base).value == ours and merge_sequences(base, base, theirs).value == theirs and merge_sequences(base, ours, ours).value == ours
+    there, back = merge_sequences(base, ours, theirs), merge_sequences(base, theirs, ours)
+    assert there.value == back.value and [p for p, _ in there.conflicts] == [p for p, _ in back.conflicts]
+
+
+#: An edit of a place of a list: the item there becomes these, with other items put before it.
+_EDIT = st.sampled_from(["keep", "drop", "swap", "add"])
+
+
+def apply_edits(n, edits, mark):
+    out = []
+    for i in range(n):
+        what = edits.get(i, "keep")
+        out += {"keep": [i], "drop": [], "swap": [f"{mark}{i}"], "add": [f"{mark}{i}", i]}[what]
+    return out
+
+
+@given(st.integers(3, 24), st.data())
+def test_edits_apart_from_each_other_all_land(n, data):
+    places = [i for i in range(0, n, 3)]
+    owner = {i: data.draw(st.sampled_from("ot")) for i in places}
+    edits = {i: data.draw(_EDIT) for i in places}
+    sides = {who: apply_edits(n, {i: e for i, e in edits.items() if owner[i] == who}, "new") for who in "ot"}
+    got = merge_sequences(list(range(n)), sides["o"], sides["t"], str)
+    assert got.value == apply_edits(n, edits, "new") and not got.conflicts and not got.flagged
+
+
+@given(st.integers(5, 20), st.data())
+def test_two_edits_of_one_place_clash_or_stand_side_by_side(n, data):
+    at = data.draw(st.integers(1, n - 2))
+    base, one, two = list(range(n)), data.draw(_EDIT), data.draw(_EDIT)
+    assume("keep" not in (one, two))
+    got = merge_sequences(base, apply_edits(n, {at: one}, "a"), apply_edits(n, {at: two}, "b"), str)
+    if one == two == "add":
+        assert got.value == [*range(at), f"a{at}", f"b{at}", *range(at, n)] and [p for p, _ in got.flagged] == [(str(at),)] and not got.conflicts
+    elif one == two == "drop":
+        assert got.value == [*range(at), *range(at + 1, n)] and not got.conflicts and not got.flagged
+    else:
+        assert got.value == base and [p for p, _ in got.conflicts] == [(str(at),)]
+
+
+@pytest.mark.parametrize("over", [0, 1])
+def test_a_list_edited_too_much_stays_as_it_was(over):
+    base = [-i for i in range(1, 301)]
+    ours = [*range(MAX_SEQUENCE_EDITS + over), *base]
+    got = merge_sequences(base, ours, [*base, "end"], str)
+    assert ([p for p, _ in got.conflicts], got.value) == ([()], base) if over else (got.conflicts == [] and got.value == [*ours, "end"])
+
+
+# Trees
+
+_PATHS = [("a",), ("b", "x"), ("b", "y"), ("c", "x", "deep"), ("c", "z")]
+
+
+def tree(values):
+    out = {}
+    for path, value in values.items():
+        here = out
+        for step in path[:-1]:
+            here = here.setdefault(step, {})
+        here[path[-1]] = value
+    return out
+
+
+_LEAF = st.integers(0, 3).map(jsontext.Number) | st.sampled_from(["s", "u", True, None])
+
+
+@settings(max_examples=200)
+@given(st.fixed_dictionaries({p: st.tuples(_LEAF, _LEAF, _LEAF) for p in _PATHS}))
+def test_trees_merge_leaf_by_leaf(leaves):
+    base, ours, theirs = (tree({p: v[i] for p, v in leaves.items()}) for i in range(3))
+    got = merge_trees(base, ours, theirs, lambda path: path == ("c", "z"))
+    want, clashes = {}, []
+    for path, (b, o, t) in leaves.items():
+        eb, eo, et = map(jsontext.encode, (b, o, t))
+        if eo == et or et == eb:
+            want[path] = o
+        elif eo == eb:
+            want[path] = t
+        elif path == ("c", "z") and all(isinstance(v, jsontext.Number) for v in (b, o, t)):
+            want[path] = jsontext.Number(int(o) + int(t) - int(b))
+        else:
+            want[path] = b
+            clashes.append(path)
+    assert jsontext.encode(got.value) == jsontext.encode(tree(want)) and sorted(p for p, _ in got.conflicts) == sorted(clashes)
+
+
+@given(st.dictionaries(st.sampled_from("klmn"), st.tuples(st.booleans(), st.booleans(), st.booleans(), _LEAF, _LEAF), min_size=1))
+def test_fields_that_come_and_go(fields):
+    """Each field is there or not in base, ours, theirs, with one value in base and another one where a side has changed it."""
+    sides = [{}, {}, {}]
+    for name, (in_base, in_ours, in_theirs, old, new) in fields.items():
+        for side, there, value in zip(sides, (in_base, in_ours, in_theirs), (old, old, new), strict=True):
+            if there:
+                side[name] = value
+    got, want, clashes = merge_trees(*sides), {}, []
+    for name in fields:
+        b, o, t = (jsontext.encode(s[name]) if name in s else None for s in sides)
+        keep = o if o == t or t == b else t if o == b else b
+        if not (o == t or t == b or o == b):
+            clashes.append((name,))
+        if keep is not None:
+            want[name] = keep
+    assert {n: jsontext.encode(v) for n, v in got.value.items()} == want and sorted(p for p, _ in got.conflicts) == sorted(clashes)
+
+
+def test_lists_in_trees_and_wholes():
+    lists = merge_trees({"q": {"l": ["a", "b"]}}, {"q": {"l": ["0", "a", "b"]}}, {"q": {"l": ["a", "b", "z"]}})
+    assert lists.value == {"q": {"l": ["0", "a", "b", "z"]}} and not lists.conflicts
+    both = merge_trees({"l": ["a"]}, {"l": ["a", "y"]}, {"l": ["a", "x"]})
+    assert both.value == {"l": ["a", "x", "y"]} and [p for p, _ in both.flagged] == [("l", "1")]
+    assert [p for p, _ in merge_trees("r", "s", "t").conflicts] == [()] and merge_trees([], {}, []).value == {}
+    deep = json.loads("[" * 70 + "]" * 70)
+    assert [p for p, _ in merge_trees({}, {"d": deep}, {"e": 1}).conflicts] == [()]
+
+
+# Grants, errors, locations
+
+def test_scopes_hold_only_their_permissions_and_nothing_implies_another():
+    scopes = {g.DATABASE: g.Scope(), g.BRANCH: g.Scope(g.BRANCH, "b1"), g.OBJECT: g.Scope(g.OBJECT, "b1", "t1")}
+    may = {g.READ: 3, g.WRITE: 3, g.COMMIT: 2, g.MERGE: 2, g.BRANCH_ADMIN: 2, g.ADMIN: 1}  # of how many kinds of scope, from the widest on
+    for permission, (number, (kind, scope)) in product(may, enumerate(scopes.items(), 1)):
+        held = g.Grants()
+        if number > may[permission]:
+            with pytest.raises(InvalidError):
+                held.grant("p", permission, scope)
+            continue
+        held.grant("p", permission, scope)
+        for asked, branch, path in product(may, (None, "b1", "b2"), (None, "t1", "t2")):
+            if branch is None and path is not None:
+                continue
+            inside = kind == g.DATABASE or (branch == "b1" and (kind == g.BRANCH or (path in (None, "t1") and permission in (g.READ, g.WRITE))))
+            reading_the_whole = branch is None and permission == g.READ
+            assert held.allows("p", g.Question(asked, branch, path)) == (asked == permission and (inside or reading_the_whole)), (permission, kind, asked, branch, path)
+        assert not held.allows("q", g.Question(permission, "b1", "t1"))
+        held.revoke("p", permission, scope)
+        with pytest.raises(PermissionDeniedError):
+            held.ask("p", g.Question(permission, "b1", "t1"))
+
+
+def test_protected_branches_take_no_writes():
+    held = g.Grants()
+    held.grant("p", g.WRITE)
+    held.grant("p", g.MERGE)
+    held.protect("b1")
+    asked = g.Question(g.WRITE, "b1", "t"), g.Question(g.WRITE, "b2", "t"), g.Question(g.MERGE, "b1")
+    assert [held.allows("p", q) for q in asked] == [False, True, True]
+    held.unprotect("b1")
+    assert all(held.allows("p", q) for q in asked)
+    for scope in (g.Scope(g.BRANCH), g.Scope(g.OBJECT, "b1"), g.Scope(g.DATABASE, "b1"), g.Scope("cell")):
         with pytest.raises(InvalidError):
-            grants.grant("ann", permission, scope)
+            held.grant("p", g.READ, scope)
 
 
-def test_errors_are_scrubbed_once_with_the_detail_in_the_log():
+def test_errors_leave_as_kind_and_code_from_the_outermost_call_only():
     log = []
-    found = scrub(NotFoundError("row 42 of people"), lambda code, detail: log.append((code, detail)))
-    assert isinstance(found, NotFoundError) and "people" not in str(found) and log[0][0] in str(found) and "row 42" in log[0][1]
-    assert scrub(found, lambda *x: log.append(x)) is found and len(log) == 1
-    assert isinstance(scrub(ValueError("x")), EngineError)
 
+    @guarded(lambda self: lambda code, detail: log.append((code, detail)))
+    class Thing:
+        def inner(self):
+            raise WrongKindError("the value 17 of row 4")
+
+        def outer(self):
+            try:
+                self.inner()
+            except WrongKindError as error:
+                assert "17" in str(error)
+                raise
+
+    with pytest.raises(WrongKindError) as caught:
+        Thing().outer()
+    assert "17" not in str(caught.value) and len(log) == 1 and log[0][0] in str(caught.value) and "row 4" in log[0][1]
+    assert scrub(caught.value) is caught.value and isinstance(scrub(KeyError("k")), EngineError) and CancelledError.kind == "Cancelled"
 
-@pytest.mark.parametrize("place", [
-    Location((1,)), Location((1, "é"), 3), Location((b"key",)), Location((b"key",), "field"), Location((b"id",), ("a", "0")), Location((None, True), 2), Location((b"",), ()),
-    Location(schema="schema"), Location(schema="schema/4"), Location(schema="schema/index/10"),
-])
-def test_locations_have_one_spelling(place):
-    assert parse_location(encode_location(place)) == place
 
+_KEYS = st.tuples(st.integers() | st.booleans() | st.none() | _LETTERS | st.binary(max_size=5))
+_BELOW = st.none() | st.integers(1, 99) | _LETTERS | st.lists(_LETTERS, max_size=3).map(tuple)
 
-@pytest.mark.parametrize("forged", ["", "[]", "[[]]", "[[1], 2]", '[[1],2,3]', "schema/0", "schema/x", "schemas", '[[{"hex":"AB"}]]', "[[1.5]]", "{}", "nonsense"])
-def test_forged_locations_are_refused(forged):
-    with pytest.raises(InvalidError):
-        parse_location(forged)
+
+@given(_KEYS | st.tuples(st.integers(), _LETTERS), _BELOW)
+def test_places_have_one_text_and_no_other_parses(key, below):
+    place = Location(key, below)
+    text = encode_location(place)
+    assert parse_location(text) == place
+    for other in (text.replace(",", ", ", 1), text + " ", text[:-1], text.replace("[[", "[ [", 1), text[1:]):
+        if other != text:
+            with pytest.raises(InvalidError):
+                parse_location(other)
+
+
+@given(st.integers(1, 10**6))
+def test_places_in_schemas(tag):
+    for text in ("schema", f"schema/{tag}", f"schema/index/{tag}"):
+        assert encode_location(parse_location(text)) == text
+    for bad in (f"schema/0{tag}", f"schema/{tag}/", "schema/index", f"schema/-{tag}", f"schema/key/{tag}", f"Schema/{tag}"):
+        with pytest.raises(InvalidError):
+            parse_location(bad)
