@@ -4,8 +4,12 @@ Equal vectors of one label collapse to a class first, so copies never meet as pa
 hashed in TABLES tables: HASHES pseudo-random rotations each (three rounds of random signs and a
 fast Walsh-Hadamard transform), each giving the nearest signed axis. Every class stands in its own
 bucket of each table and also probes the buckets next to it (second and third nearest axes).
-Bucket and probe rows hold ids only; pairs that meet are made distinct, joined with their vectors,
-and kept if the cosine in double precision reaches the threshold.
+
+Classes that stand in one bucket of more than HOT are compared there, by matrix products of blocks of
+BLOCK at most; a pair with several such buckets in common counts in the least of them. Their number
+of links and a spanning forest come out, never their pairs. All other pairs that meet hold ids only,
+are made distinct, joined with their vectors, and kept if the cosine in double precision reaches the
+threshold.
 """
 
 from __future__ import annotations
@@ -17,13 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from branchframe.llm.common import discard, materialise, small_batches
+from branchframe.llm.common import discard, materialise, small_batches, tidy_after
 from branchframe.llm.components import connected_components
+from branchframe.llm.near_copies import forest
 
 TABLES, HASHES, SEED = 7, 2, 20240229
 #: For each table the ranks of the axes that a probe takes, one for each hash; the first is the own bucket.
 PROBES = ((0, 0), (0, 1), (1, 0), (1, 1), (0, 2), (2, 0))
 
+#: Classes at home in a bucket from which they are compared there, and of a block at most.
+HOT, BLOCK = 32, 1024
+
 _KEYED = pa.schema([("vec_id", pa.int64()), ("label", pa.string()), ("key", pa.binary()), ("vec", pa.binary())])
 _BUCKETS = pa.schema([("bucket", pa.int64()), ("cid", pa.int64()), ("own", pa.bool_())])
 
@@ -50,14 +58,22 @@ def _keyed(batches):
         yield pa.RecordBatch.from_arrays([ids, pa.array(labels, pa.string()), pa.array(keys, pa.binary()), pa.array(packed, pa.binary())], schema=_KEYED)
 
 
+def _signs(n: int) -> np.ndarray:
+    """The Walsh-Hadamard matrix of a power of two."""
+    out = np.ones((1, 1))
+    while len(out) < n:
+        out = np.block([[out, out], [out, -out]])
+    return out
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """The fast Walsh-Hadamard transform of each row; the width is a power of two."""
-    x = x.copy()
-    n, h = x.shape[1], 1
-    while h < n:
-        y = x.reshape(len(x), n // (2 * h), 2, h)
-        x = np.stack((y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]), axis=2).reshape(len(x), n)
-        h *= 2
+    """The fast Walsh-Hadamard transform of each row, three binary steps at a time; the width is a power of two."""
+    rows, n = x.shape
+    done = 1
+    while done < n:
+        step = min(8, n // done)
+        x = (x.reshape(-1, step, done).swapaxes(1, 2).reshape(-1, step) @ _signs(step)).reshape(-1, done, step).swapaxes(1, 2).reshape(rows, n)
+        done *= step
     return x
 
 
@@ -69,8 +85,9 @@ def axis_ranks(x: np.ndarray, table: int, hashed: int, ranks: int) -> np.ndarray
     y[:, : x.shape[1]] = x
     for _ in range(3):
         y = hadamard(y * rng.choice((-1.0, 1.0), width)) / np.sqrt(width)
-    size = np.abs(y)
-    top = np.argsort(-size, axis=1, kind="stable")[:, :ranks]
+    size = -np.abs(y)
+    top = np.sort(np.argpartition(size, min(ranks, width) - 1, axis=1)[:, :ranks], axis=1)
+    top = np.take_along_axis(top, np.argsort(np.take_along_axis(size, top, axis=1), axis=1, kind="stable"), axis=1)
     return top * 2 + (np.take_along_axis(y, top, axis=1) < 0)
 
 
@@ -132,7 +149,87 @@ def _verifier(threshold: float):
     return verify
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("link", pa.bool_())])
+
+
+def _first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number that two rows of [n, k] ascending numbers have in common; rows are filled up with numbers of their own."""
+    out = np.full(len(a), np.iinfo(np.int64).max)
+    for k in range(a.shape[1]):
+        column = a[:, k]
+        out = np.minimum(out, np.where((b == column[:, None]).any(axis=1), column, np.iinfo(np.int64).max))
+    return out
+
+
+def cell_links(bucket: int, ids: np.ndarray, sizes: np.ndarray, blocks: np.ndarray | None, vectors: np.ndarray, homes: np.ndarray, threshold: float) -> tuple[np.ndarray, list]:
+    """Of the members of a cell: linked vectors of each, in pairs that count here, and links that span the components.
+
+    In a cell of two blocks, ``blocks``, members of one are compared with members of the other. ``homes``: each member's hot buckets.
+    """
+    unit = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    unit = unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+    good = unit @ unit.T >= threshold
+    np.fill_diagonal(good, False)
+    if blocks is not None:
+        good &= blocks[:, None] != blocks[None, :]
+    spanning = [(int(ids[i]), int(ids[j])) for i, j in forest(good, good.astype(np.float32), np.arange(len(ids)))]
+    others = np.zeros(len(ids), np.int64)
+    rows, columns = np.nonzero(np.triu(good, 1))
+    for at in range(0, len(rows), 1 << 16):
+        i, j = rows[at : at + (1 << 16)], columns[at : at + (1 << 16)]
+        here = _first_common(homes[i], homes[j]) == bucket
+        np.add.at(others, i[here], sizes[j[here]])
+        np.add.at(others, j[here], sizes[i[here]])
+    return others, spanning
+
+
+def _hot_links(cells: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, link) of ``cells(cell, bucket, cid, n, block, vec, homes)``: links that span, and rows (cid, linked vectors, false)."""
+
+    def run(batches):
+        held: list[tuple] = []
+        last = None
+
+        def done():
+            bucket = held[0][0] if held else 0
+            for width in {len(r[4]) for r in held}:
+                own = [r for r in held if len(r[4]) == width]
+                if len(own) < 2:
+                    continue
+                ids, sizes, blocks = (np.array([r[i] for r in own], np.int64) for i in (1, 2, 3))
+                fill = np.iinfo(np.int64).min
+                homes = np.array([[*r[5], *[fill + i] * (TABLES - len(r[5]))] for i, r in enumerate(own)], np.int64)
+                vectors = np.frombuffer(b"".join(r[4] for r in own), np.float64).reshape(len(own), -1)
+                first, second = last.split("/")[1:]
+                others, spanning = cell_links(bucket, ids, sizes, None if first == second else blocks, vectors, homes, threshold)
+                rows = [(a, b, True) for a, b in spanning] + [(int(i), int(x), False) for i, x in zip(ids, others, strict=True) if x]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FOUND, strict=True)], schema=_FOUND)
+
+        for batch in tidy_after(batches):
+            for cell, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if cell != last:
+                    yield from done()
+                    held, last = [], cell
+                held.append(tuple(row))
+        yield from done()
+
+    rows = cells.select("cell", "bucket", "cid", "n", "block", "vec", "homes").repartition("cell").sortWithinPartitions("cell", "cid")
+    return rows.mapInArrow(run, "a bigint, b bigint, link boolean")
+
+
+def _hot_cells(homes: DataFrame, hot: DataFrame, classes: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """(cid, homes: its hot buckets) and the cells: a bucket's members in blocks, a cell for each pair of blocks."""
+    at_home = homes.join(hot, "bucket").select("bucket", "cid", F.ceil(F.col("n") / F.lit(block // 2)).alias("blocks"))
+    lists = at_home.groupBy("cid").agg(F.array_sort(F.collect_list("bucket")).alias("homes"))
+    blocks = F.when(F.col("blocks") <= 2, 1).otherwise(F.col("blocks"))
+    own = at_home.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    cell = F.concat_ws("/", F.col("bucket").cast("string"), F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string"))
+    return lists, pairs.select(cell.alias("cell"), "bucket", "cid", "block").join(lists, "cid").join(classes.select("cid", "n", "vec"), "cid")
+
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Links join vectors of one label (not null) with cosine of at least ``threshold``. Vectors that
@@ -149,20 +246,29 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
         .withColumn("cid", F.monotonically_increasing_id()), "vector-classes",
     )
     buckets = materialise(classes.select("cid", "label", "vec").mapInArrow(_hashed, _ddl(_BUCKETS)), "buckets")
-    home = buckets.filter("own").select("bucket", F.col("cid").alias("x"))
-    probe = buckets.select("bucket", F.col("cid").alias("y"))
-    met = home.join(probe, "bucket").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    homes = buckets.filter("own").select("bucket", "cid")
+    crowded = materialise(homes.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > hot), "crowded")
+    lists, cells = _hot_cells(homes, crowded, classes, block)
+    inside = materialise(_hot_links(cells, threshold), "inside")
+    shared = lambda c: lists.select(F.col("cid").alias(c), F.col("homes").alias(f"{c}_homes"))
+    home = homes.withColumnRenamed("cid", "x").join(shared("x"), "x", "left")
+    away = buckets.join(crowded.select(F.col("bucket").alias("full")), F.col("own") & (F.col("bucket") == F.col("full")), "left_anti")
+    probe = away.select("bucket", F.col("cid").alias("y")).join(shared("y"), "y", "left")
+    seen_inside = F.coalesce(F.arrays_overlap("x_homes", "y_homes"), F.lit(False))
+    met = home.join(probe, "bucket").filter((F.col("x") != F.col("y")) & ~seen_inside).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     side = lambda c: classes.select(F.col("cid").alias(c), F.col("vec").alias(f"v{c}"))
     pairs = met.join(side("a"), "a").join(side("b"), "b").select("a", "b", "va", "vb")
     links = materialise(pairs.mapInArrow(_verifier(threshold), "a bigint, b bigint"), "links")
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     size = classes.select(F.col("cid").alias("b"), F.col("n").alias("m"))
-    degree = both.join(size, "b").groupBy("a").agg(F.sum("m").alias("others"))
-    roots = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    counted = both.join(size, "b").select("a", "m").union(inside.filter("not link").select("a", "b"))
+    degree = counted.groupBy("a").agg(F.sum("m").alias("others"))
+    edges = links.union(inside.filter("link").select("a", "b"))
+    roots = connected_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
     labelled = classes.select("cid", "key", "rep", "n").join(degree, F.col("cid") == F.col("a"), "left").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
     least = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
     found = materialise(labelled.join(least, "root").select("key", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id"), "found")
-    discard(buckets)
+    discard(buckets, crowded, inside, links, classes, roots)
     out = rows.select("vec_id", "key").join(found, "key", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
