@@ -53,13 +53,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete tables of materialise() that nothing will read again."""
+    """Delete tables of materialise() that nothing will read again: the frames' own, and those in their attribute ``reads``."""
     for df in frames:
         path = getattr(df, "shared_path", None)
         if path:
             jvm = df.sparkSession._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        discard(*getattr(df, "reads", ()))
 
 
 def id_crc(id_col: str) -> Column:
@@ -191,8 +192,11 @@ def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", tex
     stay = docs.join(per_id.select(F.col("doc_id").alias(gone)), F.col(id_col).eqNullSafe(F.col(gone)), "left_anti")
     part = per_id.filter("k > 0").select(F.col("doc_id").alias("part_id"))
     if part.isEmpty():
+        stay.reads = [per_id, decisions]
         return stay
     back = decisions.filter("kept").join(part, F.col("doc_id").eqNullSafe(F.col("part_id")), "left_semi").select(F.col("doc_id").alias(sure), F.col("text_sha256").alias(text)).distinct()
     coded = docs.withColumn(code, F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
     some = coded.join(back, F.col(id_col).eqNullSafe(F.col(sure)) & (F.col(code) == F.col(text)), "left_semi")
-    return stay.unionByName(some.dropDuplicates([id_col, code]).drop(code))
+    out = stay.unionByName(some.dropDuplicates([id_col, code]).drop(code))
+    out.reads = [per_id, decisions]
+    return out

@@ -179,8 +179,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     middle = 0 if low is None else low + (high - low) // 2
     old = F.coalesce(F.col("doc_id") <= F.lit(middle), F.lit(True))
     groups = dedup(rows.filter(old), rows.filter(~old))
-    return rows.join(groups, "digest").select(
+    out = rows.join(groups, "digest").select(
         "doc_id", "keep_id", F.col("n").alias("group_size"),
         (F.col("row") == F.col("keep_row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
+    out.reads = [rows, groups]
+    return out

@@ -10,8 +10,9 @@ differ in one bit at most, the codeword of each is among the keys of the other.
 
 Fingerprints are made distinct first, so copies never meet. Fingerprints with equal keys are sorted
 next to each other; within such a run a spanning forest of the verified links comes out, never all
-pairs, and runs of any length stream through a task. Components are found over distinct
-fingerprints and joined back to the documents.
+pairs. A run is held by one task, 8 bytes a fingerprint: only fingerprints that agree in 16 bits and
+lie near one codeword share a key. Components are found over distinct fingerprints and joined back to
+the documents.
 """
 
 from __future__ import annotations

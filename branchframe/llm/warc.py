@@ -22,6 +22,8 @@ from branchframe.llm.common import discard, fresh_path, materialise, small_batch
 
 #: Bytes of payload in an archive, about: a reader holds one archive, compressed, at a time.
 ARCHIVE_BYTES = 8 << 20
+#: What the largest pages could fill an archive with at most: a file is read as one value, which has a limit of 2 GB.
+MOST_BYTES = 1 << 30
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _RECORDS = "record_id string, kind string, concurrent_to string, refers_to string, uri string, digest string, length bigint, page_id bigint, payload binary"
@@ -70,7 +72,7 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     """
     base = captures(pages, id_col, url_col, html_col)
     groups = base.groupBy("sha").agg(F.max(F.struct("page_id", "url")).alias("win"), F.count("*").alias("n"), F.max("length").alias("size"))
-    size = base.agg(F.avg("length")).first()[0] or 1
+    size, largest = base.agg(F.avg("length"), F.max("length")).first()
     repeated = materialise(groups.filter((F.col("n") > 1) & (F.col("size") >= revisit_from)).select("sha", "win"), "repeated-payloads")
     rows = base.join(repeated, "sha", "left")
     own = F.struct("page_id", "url")
@@ -89,7 +91,7 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     metadata = _record("metadata", rid("metadata", ""), [target, when, ("WARC-Concurrent-To", rid("main", "")), ("Content-Type", F.lit("application/warc-fields"))], F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit("")))
     end = F.lit("\r\n\r\n")
     lines = rows.select(F.concat(request, end, main, end, metadata).alias("value"))
-    most = max(1, min(100_000, int(ARCHIVE_BYTES / max(1.0, size))))
+    most = max(1, min(100_000, int(ARCHIVE_BYTES / max(1.0, size or 1)), MOST_BYTES // max(1, largest or 1)))
     lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
     discard(repeated)
 
