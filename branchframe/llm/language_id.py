@@ -29,9 +29,9 @@ from branchframe.llm.common import bounded_rows, hash_sample, id_crc, slices, sm
 #: Bytes of context; bounds of the sample: documents of a language, characters of a document, languages, documents and bytes in all.
 ORDER, SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES, SAMPLE_ALL, SAMPLE_BYTES = 4, 400, 16_384, 400, 8_000, 64 << 20
 UNKNOWN = "und"
-#: A text is in none of the learned languages if it takes FOREIGN_BITS bits a byte (bytes of an unseen script take eight and an
-#: escape) and FOREIGN_MARGIN more than any labelled text of FOREIGN_BYTES or more took under models of other sample texts.
-FOREIGN_BITS, FOREIGN_MARGIN, FOREIGN_BYTES = 7.5, 1.0, 32
+#: A text is in none of the learned languages if it takes FOREIGN_BITS bits a byte (no model makes it shorter than it is) and
+#: FOREIGN_MARGIN more than any labelled text of FOREIGN_BYTES or more took under models of other sample texts.
+FOREIGN_BITS, FOREIGN_MARGIN, FOREIGN_BYTES = 8.0, 1.0, 32
 _BATCH = 1 << 18
 
 
