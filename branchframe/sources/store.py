@@ -242,11 +242,12 @@ class Store:
             deltas=(), skipped=0, folded=0, pending_rows=0,
         )
 
-    def change(self, entry: Entry, puts: DataFrame | None, deletes: DataFrame | None, must: str | None = None, bad: Column | None = None, once: bool = False) -> Entry:
+    def change(self, entry: Entry, puts: DataFrame | None, deletes: DataFrame | None, must: str | None = None, bad: Column | None = None, once: bool = False, known: DataFrame | None = None) -> Entry:
         """The version with rows put and keys deleted. The rows are staged first, then written with what they replace.
 
         ``must``: NEW raises ExistsError if a key is there, THERE NotFoundError if one isn't. ``once``: InvalidError if
         a key is put twice (with NEW that is an ExistsError always). ``bad``: InvalidError for a logical row it holds for.
+        ``known``: the version's rows of all keys that are put or deleted, if they are at hand; else the version is read.
         """
         if puts is not None and deletes is None and not entry.rows and must != THERE:
             made = self.write(entry, puts, bad)
@@ -277,7 +278,7 @@ class Store:
         if (once or must == NEW) and not self._repeats(staged, keys).isEmpty():
             self.files.delete(folder)
             raise ExistsError("a key comes twice") if must == NEW else InvalidError("a key comes twice")
-        return self._add(entry, staged, folder, must)
+        return self._add(entry, staged, folder, must, known)
 
     @staticmethod
     def _repeats(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -287,10 +288,10 @@ class Store:
         for f in folders:
             self.files.delete(f"data/{f}")
 
-    def _add(self, entry: Entry, staged: DataFrame, folder: str, must: str | None) -> Entry:
+    def _add(self, entry: Entry, staged: DataFrame, folder: str, must: str | None, known: DataFrame | None = None) -> Entry:
         """Write (keys, _new) with the rows that they replace as the next change folder."""
         keys, names, seen = entry.stored_keys(), list(entry.stored()), Observation()
-        now = self._read(entry).join(staged.select(*keys), keys, "left_semi").select(*keys, self._row(entry).alias("_old"))
+        now = (self._read(entry) if known is None else self._inward(entry, known)).join(staged.select(*keys), keys, "left_semi").select(*keys, self._row(entry).alias("_old"))
         seq = entry.skipped + len(entry.deltas)
         both = staged.join(now, keys, "left").select(*keys, "_old", "_new").withColumn("_seq", F.lit(seq).cast("bigint"))
         old, new = F.col("_old"), F.col("_new")
@@ -349,8 +350,8 @@ class Store:
             at += 1
         return at if low == 0 or at > low else None
 
-    def changed(self, fork: int, *entries: Entry) -> list[DataFrame]:
-        """Each version's rows of the keys that any of them has changed since the fork."""
+    def changed(self, fork: int, *entries: Entry, hold: str | None = None) -> list[DataFrame]:
+        """Each version's rows of the keys that any of them has changed since the fork. ``hold`` is a folder to put them in first."""
         first = entries[0]
         keys, values = first.stored_keys(), self._values(first)
         parts = [self._net(e, e.deltas[fork - e.skipped :]).withColumn("_side", F.lit(i)) for i, e in enumerate(entries) if len(e.deltas) > fork - e.skipped]
@@ -361,6 +362,9 @@ class Store:
         there = [F.max(F.col("_side") == i).alias(f"_there{i}") for i in range(len(entries))]
         news = [pick(F.when(F.col("_side") == i, F.col("_new"))).alias(f"_new{i}") for i in range(len(entries))]
         each = union.groupBy(*keys).agg(pick("_old").alias("_fork"), *there, *news)
+        if hold is not None:
+            each.write.parquet(self.files.at(hold))
+            each = self.spark.read.schema(each.schema).parquet(self.files.at(hold))
         out = []
         for i, entry in enumerate(entries):
             own = each.select(*keys, F.when(F.col(f"_there{i}"), F.col(f"_new{i}")).otherwise(F.col("_fork")).alias("_row")).filter("_row is not null")
