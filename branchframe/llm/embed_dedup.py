@@ -7,9 +7,10 @@ bucket of each table and also probes the buckets next to it (second and third ne
 
 Classes that stand in one bucket of more than HOT are compared there, by matrix products of blocks of
 BLOCK at most; a pair with several such buckets in common counts in the least of them. Their number
-of links and a spanning forest come out, never their pairs. All other pairs that meet hold ids only,
-are made distinct, joined with their vectors, and kept if the cosine in double precision reaches the
-threshold.
+of links and a spanning forest come out, never their pairs. Of all other pairs that meet, those go on
+whose vectors, rotated, differ in few of 64 signs (a pair at the threshold in more than that with a
+probability of about 1e-8); they hold ids only, are made distinct, joined with their vectors, and kept
+if the cosine in double precision reaches the threshold.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ PROBES = ((0, 0), (0, 1), (1, 0), (1, 1), (0, 2), (2, 0))
 HOT, BLOCK = 32, 1024
 
 _KEYED = pa.schema([("vec_id", pa.int64()), ("label", pa.string()), ("key", pa.binary()), ("vec", pa.binary())])
-_BUCKETS = pa.schema([("bucket", pa.int64()), ("cid", pa.int64()), ("own", pa.bool_())])
+_BUCKETS = pa.schema([("bucket", pa.int64()), ("cid", pa.int64()), ("own", pa.bool_()), ("signs", pa.int64())])
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -77,16 +78,21 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def axis_ranks(x: np.ndarray, table: int, hashed: int, ranks: int) -> np.ndarray:
-    """The ``ranks`` nearest signed axes of each row after one random rotation, nearest first."""
+def rotated(x: np.ndarray, table: int, hashed: int) -> np.ndarray:
+    """Each row after one random rotation."""
     width = 1 << max(1, (x.shape[1] - 1).bit_length())
     rng = np.random.default_rng((SEED, table, hashed, width))
     y = np.zeros((len(x), width))
     y[:, : x.shape[1]] = x
     for _ in range(3):
         y = hadamard(y * rng.choice((-1.0, 1.0), width)) / np.sqrt(width)
+    return y
+
+
+def axis_ranks(y: np.ndarray, ranks: int) -> np.ndarray:
+    """The ``ranks`` nearest signed axes of each row, nearest first."""
     size = -np.abs(y)
-    top = np.sort(np.argpartition(size, min(ranks, width) - 1, axis=1)[:, :ranks], axis=1)
+    top = np.sort(np.argpartition(size, min(ranks, y.shape[1]) - 1, axis=1)[:, :ranks], axis=1)
     top = np.take_along_axis(top, np.argsort(np.take_along_axis(size, top, axis=1), axis=1, kind="stable"), axis=1)
     return top * 2 + (np.take_along_axis(y, top, axis=1) < 0)
 
@@ -97,19 +103,29 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def bucket_rows(labels: list[str], x: np.ndarray) -> np.ndarray:
-    """Bucket ids as int64 [rows, tables, probes]; probe 0 is the row's own bucket."""
+def bucket_rows(labels: list[str], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket ids as int64 [rows, tables, probes], probe 0 the row's own bucket; and 64 signs of rotated coordinates as a bigint."""
     unit = x / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(axis=1, keepdims=True)
     salt = np.array([int.from_bytes(hashlib.blake2b(f"{label}/{x.shape[1]}".encode(), digest_size=8).digest(), "little") for label in labels], np.uint64)
     out = np.empty((len(x), TABLES, len(PROBES)), np.uint64)
+    signs: list[np.ndarray] = []
     for t in range(TABLES):
-        axes = [axis_ranks(unit, t, h, 3).astype(np.uint64) for h in range(HASHES)]
+        turned = [rotated(unit, t, h) for h in range(HASHES)]
+        signs += [y[:, k] >= 0 for y in turned for k in range(y.shape[1]) if t * HASHES * y.shape[1] < 64][: 64 - len(signs)]
+        axes = [axis_ranks(y, 3).astype(np.uint64) for y in turned]
         for p, ranks in enumerate(PROBES):
             code = salt + np.uint64(t + 1)
             for h, r in enumerate(ranks):
                 code = _mix(code * np.uint64(0x9E3779B97F4A7C15) + axes[h][:, min(r, axes[h].shape[1] - 1)])
             out[:, t, p] = code
-    return out.view(np.int64)
+    signs += [np.zeros(len(x), bool)] * (64 - len(signs))
+    return out.view(np.int64), np.packbits(np.stack(signs, axis=1), axis=1, bitorder="little").view("<i8").ravel()
+
+
+def most_signs(threshold: float) -> int:
+    """Signs that may differ at a cosine of ``threshold`` or more: the mean and six standard deviations."""
+    share = float(np.arccos(min(1.0, threshold)) / np.pi)
+    return int(np.ceil(64 * share + 6 * np.sqrt(64 * share * (1 - share))))
 
 
 def _hashed(batches):
@@ -119,11 +135,12 @@ def _hashed(batches):
         for width in np.unique(widths):
             own = np.flatnonzero(widths == width)
             x = np.frombuffer(b"".join(vectors[i] for i in own), np.float64).reshape(len(own), -1)
-            buckets = bucket_rows([labels[i] for i in own], x)
+            buckets, signs = bucket_rows([labels[i] for i in own], x)
             cid = np.broadcast_to(ids[own][:, None, None], buckets.shape)
             first = np.zeros(buckets.shape, bool)
             first[:, :, 0] = True
-            yield pa.RecordBatch.from_arrays([pa.array(buckets.ravel()), pa.array(cid.ravel()), pa.array(first.ravel())], schema=_BUCKETS)
+            signs = np.broadcast_to(signs[:, None, None], buckets.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(buckets.ravel()), pa.array(cid.ravel()), pa.array(first.ravel()), pa.array(signs.ravel())], schema=_BUCKETS)
 
 
 def cosines(a: list[bytes], b: list[bytes]) -> np.ndarray:
@@ -251,11 +268,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     lists, cells = _hot_cells(homes, crowded, classes, block)
     inside = materialise(_hot_links(cells, threshold), "inside")
     shared = lambda c: lists.select(F.col("cid").alias(c), F.col("homes").alias(f"{c}_homes"))
-    home = homes.withColumnRenamed("cid", "x").join(shared("x"), "x", "left")
+    home = buckets.filter("own").select("bucket", F.col("cid").alias("x"), F.col("signs").alias("x_signs")).join(shared("x"), "x", "left")
     away = buckets.join(crowded.select(F.col("bucket").alias("full")), F.col("own") & (F.col("bucket") == F.col("full")), "left_anti")
-    probe = away.select("bucket", F.col("cid").alias("y")).join(shared("y"), "y", "left")
+    probe = away.select("bucket", F.col("cid").alias("y"), F.col("signs").alias("y_signs")).join(shared("y"), "y", "left")
     seen_inside = F.coalesce(F.arrays_overlap("x_homes", "y_homes"), F.lit(False))
-    met = home.join(probe, "bucket").filter((F.col("x") != F.col("y")) & ~seen_inside).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    alike = F.bit_count(F.col("x_signs").bitwiseXOR(F.col("y_signs"))) <= most_signs(threshold)
+    met = home.join(probe, "bucket").filter((F.col("x") != F.col("y")) & alike & ~seen_inside).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     side = lambda c: classes.select(F.col("cid").alias(c), F.col("vec").alias(f"v{c}"))
     pairs = met.join(side("a"), "a").join(side("b"), "b").select("a", "b", "va", "vb")
     links = materialise(pairs.mapInArrow(_verifier(threshold), "a bigint, b bigint"), "links")
