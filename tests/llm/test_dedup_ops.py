@@ -14,7 +14,7 @@ from branchframe.llm import queries as q
 from branchframe.llm.chat import format_chats, maximal_conversations
 from branchframe.llm.common import keep_rows
 from branchframe.llm.components import connected_components
-from branchframe.llm.embed_dedup import bucket_rows, cosines, hadamard, near_vectors
+from branchframe.llm.embed_dedup import bucket_rows, cosines, hadamard, most_signs, near_vectors
 from branchframe.llm.exact_dedup import build_perfect_hash, exact_dedup, find_slots
 from branchframe.llm.simhash import _forest, codeword_index, fingerprint, golay_keys, near_duplicates
 from branchframe.llm.warc import assemble, parse_archive, read_archives, warc_round_trip, write_archives
@@ -160,7 +160,8 @@ def test_hashing_recall_at_the_threshold(width):
     y = rng.normal(size=x.shape)
     y -= (x * y).sum(axis=1, keepdims=True) * x
     y = 0.98 * x + np.sqrt(1 - 0.98**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
-    a, b = bucket_rows(["0"] * 1500, x), bucket_rows(["0"] * 1500, y)
+    (a, s), (b, t) = bucket_rows(["0"] * 1500, x), bucket_rows(["0"] * 1500, y)
+    assert (np.bitwise_count((s ^ t).view(np.uint64)) <= most_signs(0.98)).all()
     met = (a[:, :, :1] == b).any(axis=(1, 2)) | (b[:, :, :1] == a).any(axis=(1, 2))
     assert met.mean() >= 0.995
     if width & (width - 1) == 0:
