@@ -1,15 +1,23 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands find pairs, the sets decide.
-
-Texts with the same set of shingles are one node. A node has a key for each of BANDS bands of ROWS
-minimum hashes; nodes that share a key are compared. A pair at the similarity 0.8 shares none of the
-keys with a probability of (1 - 0.8^5)^40, about one in ten million.
-
-Members of a key come to one task with a sketch: the SKETCH least hashes of their set, which is the
-whole set of most texts. All of them are compared there, by matrix products, and only a spanning
-forest of the likely links leaves the task, never all pairs. Whole sets decide every link that leaves.
-A key with more than BLOCK members is never held by one task: its members are first compared with one
-of them, and those still apart with blocks of the others. Where a sketch isn't the whole set it may
-mislead, so such pairs that are likely and still apart are all decided in a second pass.
+"""Near copies by SimHash and Golay codes over five-word shingles; the sets of shingles decide.
+
+Texts with the same set of shingles are one node. Its SimHash is wide: bit by bit, how many shingles
+have a one. Each of TABLES tables takes two words of 24 bits, which are decoded to codewords of the
+extended Golay code by the counts, not by the bits alone: a bit that shingles hardly agree on weighs
+little. Of all pairs of codewords, dealt into CLASSES classes, the nearest one of each class is a key.
+Two sets of similarity 0.8 differ in at most 15 % of the bits (their cosine is 8/9 at least) and share
+a key of a table with a probability of 0.53 or more, so (1 - 0.53)^22 of such pairs share none: about
+one in sixteen million.
+
+Nodes with equal keys meet in one task, each with 128 more bits of its SimHash, and those that differ
+in more than DISTANCE of them part again; what is left together is a cell. Much the same nodes meet
+under many keys, so nodes that are linked by cells are one family, which takes the place of its cells
+unless it has more than FAMILY nodes. Members of a cell or family come to one task with a sketch: the
+SKETCH least hashes of their set, which is the whole set of most texts. All of them are compared there,
+by matrix products, and only a spanning forest of the likely links leaves the task, never all pairs.
+Whole sets decide every link that leaves. One with more than BLOCK members is never held by one task:
+its members are first compared with one of them, and those still apart with blocks of the others. Where
+a sketch isn't the whole set it may mislead, so such pairs that are likely and still apart are all
+decided in a second pass.
 """
 
 from __future__ import annotations
@@ -22,17 +30,31 @@ from pyspark.sql import functions as F
 
 from branchframe.llm.common import discard, materialise, small_batches, tidy_after, utf8_parts
 from branchframe.llm.components import connected_components
+from branchframe.llm.simhash import extended_code
 
 #: Words in a shingle, and the least similarity of near copies.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Keys of a node, and hashes in a key.
-BANDS, ROWS = 40, 5
+#: Tables of two words, keys of a node in each, codewords of a word that are looked at; keys of a node.
+TABLES, CLASSES, NEAREST = 22, 8, 8
+BANDS = TABLES * CLASSES
+#: Of 128 other bits, how many may differ: of pairs at the similarity 0.8 two in 10^9 differ in more (4 of 5 shingles: 1.4 in 10^6).
+DISTANCE = 46
+#: Members of a key that one task compares by these bits (24 bytes each); of a key with more none part.
+HELD = 1 << 15
+#: Nodes in a family at most; in blocks of BLOCK all of them are compared.
+FAMILY = 1 << 14
+#: 64-bit hashes that a shingle's hash is mixed into, for 48 bits a table and 64 to compare; the hash itself gives 64 more.
+LANES = -(-TABLES * 48 // 64) + 1
 #: Hashes in a sketch, what an estimate from a cut set may be too low by (over four standard errors), members compared at once.
 SKETCH, MARGIN, BLOCK = 512, 0.08, 1024
 _COLUMNS = 4096
+_SHORT_RUN, _ROWS, _EDGES_HELD = 24, 1 << 17, 1 << 18
+_CODE = np.ascontiguousarray(extended_code()[:2048].T, np.float32)
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
-_KEYED = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
-_KEYED_DDL = "doc_id bigint, digest binary, node bigint, keys array<bigint>"
+_KEYED = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("node", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("keys", pa.list_(pa.int32()))])
+_KEYED_DDL = "doc_id bigint, digest binary, node bigint, low bigint, high bigint, keys array<int>"
+_MEMBERS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("head", pa.int64()), ("n", pa.int64())])
 _SETS = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary()), ("grams", pa.binary())])
 _SETS_DDL = "node bigint, size bigint, sketch binary, grams binary"
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -50,19 +72,70 @@ def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(begins, (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64))
 
 
+def bit_counts(grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """[nodes, 64 * (LANES + 1)]: how many hashes of each set that begins at ``starts`` have a one there; the last 64 are the hash's own bits."""
+    terms = np.random.default_rng(20).integers(0, 1 << 64, (LANES, 1), np.uint64)
+    out = np.zeros((len(starts), 64 * (LANES + 1)), np.int32)
+    for i, (begin, end) in enumerate(zip(starts, np.append(starts[1:], len(grams)), strict=True)):
+        for at in range(begin, end, 4080):
+            part = grams[at : min(at + 4080, end)]
+            mixed = (part ^ terms) * np.uint64(0xFF51AFD7ED558CCD)
+            mixed ^= mixed >> np.uint64(32)
+            mixed *= np.uint64(0xC4CEB9FE1A85EC53)
+            mixed ^= mixed >> np.uint64(29)
+            every = np.ascontiguousarray(np.concatenate([mixed, part[None]]).T.astype("<u8", copy=False)).view(np.uint8)
+            bits = np.unpackbits(every, axis=1, bitorder="little")
+            for row in range(0, len(bits), 255):  # sums of bytes
+                out[i] += np.add.reduce(bits[row : row + 255], axis=0, dtype=np.uint8)
+    return out
+
+
+def _nearest(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the NEAREST codewords of each of ``words`` [n, 24], and how much farther than the nearest each is."""
+    codes, behind = np.empty((len(words), NEAREST), np.int64), np.empty((len(words), NEAREST), np.float32)
+    for at in range(0, len(words), 512):
+        score = words[at : at + 512] @ _CODE  # the other half of the code is opposite
+        size = np.abs(score)
+        row = np.arange(len(size))[:, None]
+        top = np.argpartition(size.reshape(len(size), 32, 64).max(axis=1), 64 - NEAREST, axis=1)[:, 64 - NEAREST :]
+        place = (top[:, :, None] + 64 * np.arange(32)).reshape(len(size), -1)
+        held = size[row, place]
+        best = np.argpartition(held, held.shape[1] - NEAREST, axis=1)[:, -NEAREST:]
+        place, held = place[row, best], held[row, best]
+        codes[at : at + 512] = np.where(score[row, place] > 0, place, 4095 - place)
+        behind[at : at + 512] = held.max(axis=1, keepdims=True) - held
+    return codes, behind
+
+
+def golay_bands(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """[nodes, BANDS] keys of sets of ``sizes`` hashes by their bit_counts(); equal ones of two nodes are in one column."""
+    tie = np.random.default_rng(21).uniform(-0.02, 0.02, (2 * TABLES, 24)).astype(np.float32)  # below any difference of scores, alike for all
+    out = np.empty((len(counts), BANDS), np.int32)
+    table = np.tile(np.arange(TABLES) << 24, 64)
+    for at in range(0, len(counts), 64):
+        words = (2 * counts[at : at + 64, : 48 * TABLES] - sizes[at : at + 64, None]).astype(np.float32).reshape(-1, 2 * TABLES, 24) + tie
+        codes, behind = _nearest(words.reshape(-1, 24))
+        codes, behind = codes.reshape(-1, 2, NEAREST), behind.reshape(-1, 2, NEAREST)
+        pair = (codes[:, 0, :, None] << 12 | codes[:, 1, None, :]).reshape(len(codes), -1)
+        far = (behind[:, 0, :, None] + behind[:, 1, None, :]).reshape(len(codes), -1)
+        kind = pair.astype(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(29)
+        nearest, row = np.argmin(far, axis=1), np.arange(len(codes))
+        keys = np.empty((len(codes), CLASSES), np.int64)
+        for c in range(CLASSES):
+            own = np.where(kind == c, far, np.inf)
+            best = np.argmin(own, axis=1)
+            keys[:, c] = pair[row, np.where(np.isfinite(own[row, best]), best, nearest)]  # one in 1,400 classes has none
+        out[at : at + 64] = (keys | table[: len(codes), None]).reshape(-1, BANDS)
+    return out
+
+
+def _sizes(grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.diff(np.append(starts, len(grams)))
+
+
 def band_keys(grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """[nodes, BANDS] keys of the sets that begin at ``starts`` in ``grams``; none is empty."""
-    rng = np.random.default_rng(20)
-    factors = rng.integers(0, 1 << 64, (BANDS, ROWS), np.uint64) | np.uint64(1)
-    terms = rng.integers(0, 1 << 64, (BANDS, ROWS), np.uint64)
-    out = np.empty((len(starts), BANDS), np.uint64)
-    for band in range(BANDS):
-        key = np.full(len(starts), band, np.uint64)
-        for a, b in zip(factors[band], terms[band], strict=True):
-            key = (key ^ np.minimum.reduceat(grams * a + b, starts)) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(29)
-        out[:, band] = key
-    return out.view(np.int64)
+    return golay_bands(bit_counts(grams, starts), _sizes(grams, starts))
 
 
 def _node(grams: np.ndarray) -> tuple[bytes, int]:
@@ -81,7 +154,7 @@ def _digest(text_col: str):
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, digest of the text, node, keys) of each row of ``docs``. Null texts count as empty."""
+    """(doc_id, digest of the text, node, 128 bits, keys) of each row of ``docs``. Null texts count as empty."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -90,10 +163,12 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
                 continue
             sets = [shingle_set(t, shingle) for t in _texts(batch, 2)]
             sizes = np.array([len(s) for s in sets], np.int64)
-            keys = band_keys(np.concatenate(sets), np.cumsum(sizes) - sizes)
+            counts = bit_counts(np.concatenate(sets), np.cumsum(sizes) - sizes)
+            bits = np.packbits(2 * counts[:, -128:] > sizes[:, None], axis=1, bitorder="little").view("<i8")
+            keys = golay_bands(counts, sizes)
             nodes = np.array([_node(s)[1] for s in sets], np.uint64).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), lists], schema=_KEYED)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array(bits[:, 0]), pa.array(bits[:, 1]), lists], schema=_KEYED)
 
     return docs.select(F.col(id_col).cast("bigint"), _digest(text_col), F.col(text_col)).mapInArrow(run, _KEYED_DDL)
 
@@ -117,6 +192,153 @@ def shingle_sets(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return texts.select("text").mapInArrow(run, _SETS_DDL)
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many of their bits rows [..., 2] differ."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def _groups(keys: np.ndarray, bits: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of each row the first one of its group: rows of one run of equal keys that are linked by DISTANCE bits at most."""
+    edges = []
+    at = np.flatnonzero(np.repeat(size <= _SHORT_RUN, size) & np.append(keys[1:] == keys[:-1], False))
+    for step in range(1, _SHORT_RUN):
+        at = at[at + step < len(keys)]
+        at = at[keys[at] == keys[at + step]]
+        if not len(at):
+            break
+        near = at[_apart(bits[at], bits[at + step]) <= DISTANCE]
+        edges.append((near, near + step))
+    for first, n in zip(begin[size > _SHORT_RUN].tolist(), size[size > _SHORT_RUN].tolist(), strict=True):
+        left = np.arange(first, first + n)
+        while len(left):
+            queue, left = [left[0]], left[1:]
+            while queue and len(left):
+                one = queue.pop()
+                near = _apart(bits[left], bits[one]) <= DISTANCE
+                found, left = left[near], left[~near]
+                edges.append((np.full(len(found), one), found))
+                queue += found.tolist()
+    least = np.arange(len(keys))
+    if edges:
+        u, v = (np.concatenate(x) for x in zip(*edges, strict=True))
+        while True:
+            low = np.minimum(least[u], least[v])
+            if (low == least[u]).all() and (low == least[v]).all():
+                break
+            np.minimum.at(least, u, low)
+            np.minimum.at(least, v, low)
+    return least
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(31)) * _GOLDEN
+    return x ^ x >> np.uint64(29)
+
+
+def meeting(nodes: DataFrame, most: int = HELD) -> DataFrame:
+    """Distinct (key, node, head, n) of the cells that ``nodes(node, low, high, keys)`` make; the head is a member, n their number (most + 1 of a key with more)."""
+
+    def run(batches):
+        held = [np.empty(0, np.int64)] * 4
+        coming: list[list[np.ndarray]] = []
+        large = head = None  # the last key and its first member, if more than ``most`` of its members have come
+
+        def rows(keys, nodes, heads, n):
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes), *(pa.array(np.broadcast_to(np.int64(x), len(keys)).copy()) for x in (heads, n))], schema=_MEMBERS)
+
+        def done(last: bool):
+            nonlocal held, coming, large, head
+            held, coming = [np.concatenate(x) for x in zip(held, *coming, strict=True)], []
+            if large is not None:
+                more = int(np.searchsorted(held[0], large, "right"))
+                if more:
+                    yield rows(held[0][:more], held[1][:more], head, most + 1)
+                held = [x[more:] for x in held]
+            if not len(held[0]):
+                return
+            keys = held[0]
+            begin = np.append(0, np.flatnonzero(keys[1:] != keys[:-1]) + 1)
+            size = np.diff(np.append(begin, len(keys)))
+            whole = len(begin) if last or size[-1] > most else len(begin) - 1
+            large = int(keys[-1]) if size[-1] > most else None
+            upto = len(keys) if whole == len(begin) else int(begin[-1])
+            (keys, nodes, *bits), held = [x[:upto] for x in held], [x[upto:] for x in held]
+            size = size[:whole]
+            many = np.repeat(size > most, size)
+            heads = nodes[np.repeat(begin[: len(size)], size)]
+            if many.any():
+                yield rows(keys[many], nodes[many], heads[many], most + 1)
+                head = int(heads[-1])
+            few = np.repeat((size > 1) & (size <= most), size)
+            keys, nodes, bits = keys[few], nodes[few], np.stack(bits, axis=1)[few].view(np.uint64)
+            size = size[(size > 1) & (size <= most)]
+            group = _groups(keys, bits, np.cumsum(size) - size, size)
+            n, name = np.bincount(group, minlength=len(keys)), np.zeros(len(keys), np.uint64)
+            np.add.at(name, group, _mix(nodes.view(np.uint64)))
+            name = _mix(name + n.astype(np.uint64)).view(np.int64)
+            least = np.full(len(keys), np.iinfo(np.int64).max)
+            np.minimum.at(least, group, nodes)
+            met = n[group] > 1
+            if met.any():
+                yield rows(name[group[met]], nodes[met], least[group[met]], n[group[met]])
+
+        for batch in batches:
+            coming.append([c.to_numpy().astype(np.int64, copy=False) for c in batch.columns])
+            if sum(len(c[0]) for c in coming) >= max(_ROWS, len(held[0])):
+                yield from done(False)
+        yield from done(True)
+
+    small_batches(nodes.sparkSession)
+    rows = nodes.select(F.explode("keys").alias("key"), "node", "low", "high")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key bigint, node bigint, head bigint, n bigint").distinct()
+
+
+def _spanning(batches):
+    """Fewer edges of the same components: in blocks of those of a task, each node's with the least of its component."""
+
+    def done(block):
+        ends, code = np.unique(np.concatenate([x for pair in zip(*block, strict=True) for x in pair]), return_inverse=True)
+        parent = list(range(len(ends)))
+        u, v = np.split(code, 2)
+        for a, b in zip(u.tolist(), v.tolist(), strict=True):
+            while parent[a] != a:
+                parent[a] = a = parent[parent[a]]
+            while parent[b] != b:
+                parent[b] = b = parent[parent[b]]
+            parent[max(a, b)] = min(a, b)
+        for i, up in enumerate(parent):  # a parent is less
+            parent[i] = parent[up]
+        root = np.array(parent)
+        below = root != np.arange(len(root))
+        yield pa.RecordBatch.from_arrays([pa.array(ends[below]), pa.array(ends[root[below]])], schema=_EDGES)
+
+    block: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        block.append(tuple(c.to_numpy() for c in batch.columns))
+        if sum(len(x) for x, _ in block) >= _EDGES_HELD:
+            yield from done(block)
+            block = []
+    if block:
+        yield from done(block)
+
+
+def families(cells: DataFrame, most: int = FAMILY) -> DataFrame:
+    """(key, node, n): nodes that are linked by cells are one larger cell, where they are ``most`` at most; else the cells as they are.
+
+    Under many keys much the same nodes meet, in ever other selections; so tasks first span what they read of ``cells``.
+    """
+    edges = cells.filter("node <> head").select("node", "head").mapInArrow(_spanning, "u bigint, v bigint")
+    roots = connected_components(edges)
+    sizes = materialise(roots.groupBy("root").agg(F.count("*").alias("n")), "sizes")
+    out = roots.join(sizes.filter(F.col("n") <= most), "root").select(F.col("root").alias("key"), "node", "n")
+    large = sizes.filter(F.col("n") > most)
+    if not large.isEmpty():
+        out = out.unionByName(cells.join(roots.join(large, "root").select("node"), "node", "left_semi").select("key", "node", "n"))
+    done = materialise(out, "members")
+    discard(cells, sizes, roots)
+    return done
+
+
 def likeness(sketches: list[np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Estimated similarities of all sets, and whether each is exact (both sketches are whole sets).
 
@@ -289,9 +511,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids = materialise(rows.groupBy("doc_id", "digest").agg(F.first("node").alias("node"), F.count("*").alias("n")), "ids")
     win = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("win")
     nodes = materialise(ids.groupBy("node").agg(win, F.min("digest").alias("rep")), "nodes")
-    spread = rows.dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
-    often = spread.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = materialise(spread.join(often, "key").select("key", "node", "n"), "members")
+    members = families(materialise(meeting(rows.dropDuplicates(["node"])), "cells"))
     reps = nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("digest"))
     texts = docs.select(_digest(text_col).alias("digest"), F.col(text_col).alias("text")).join(reps, "digest", "left_semi").dropDuplicates(["digest"])
     sets = materialise(shingle_sets(texts, shingle), "sets")

@@ -78,6 +78,14 @@ def codeword_index(words: np.ndarray) -> np.ndarray:
     return (words ^ _ERRORS[syndrome]) >> 11
 
 
+def extended_code() -> np.ndarray:
+    """[4096, 24] signs of the codewords in the order of their indices, with a parity bit; i and 4095 - i are opposite."""
+    words = np.arange(1 << 12, dtype=np.uint32) << 11
+    words ^= _LOW[words & 0xFFF] ^ _HIGH[words >> 12]
+    bits = words[:, None] >> np.arange(23, dtype=np.uint32) & 1
+    return 2.0 * np.concatenate([bits, bits.sum(axis=1, keepdims=True) & 1], axis=1) - 1
+
+
 def nearby_indices(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows and indices of the distinct codewords nearest to a word or to one of its 23 neighbours."""
     around = np.concatenate([codeword_index(words)[None], *(codeword_index(words ^ np.uint32(1 << b))[None] for b in range(23))])

@@ -3,7 +3,9 @@
 import numpy as np
 
 import corpus_pipeline
-from branchframe.llm.near_copies import band_keys, forest, likeness, near_copies, shingle_set
+from branchframe.llm.common import materialise
+from branchframe.llm.near_copies import CLASSES, DISTANCE, NEAREST, TABLES, band_keys, bit_counts, families, forest, golay_bands, likeness, meeting, near_copies, shingle_set
+from branchframe.llm.simhash import extended_code
 from tests.llm.test_dedup_ops import components
 
 _WORDS = [f"w{i}" for i in range(5000)]
@@ -114,3 +116,59 @@ def test_near_stage_with_clashing_names_and_repeats(spark):
     got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "")
     assert got.columns == docs.columns
     assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == sorted([(3, texts[0]), (5, texts[1]), (7, texts[2])])
+
+
+def test_keys_are_the_nearest_golay_codewords_of_each_class():
+    rng = np.random.default_rng(12)
+    sets = [rng.integers(0, 1 << 64, n, np.uint64) for n in (1, 2, 7, 300, 5000)]
+    sizes = np.array([len(s) for s in sets])
+    counts = bit_counts(np.concatenate(sets), np.cumsum(sizes) - sizes)
+    own = [[sum(int(h) >> b & 1 for h in s) for b in range(64)] for s in sets]
+    assert counts[:, -64:].tolist() == own and counts.shape[1] >= 48 * TABLES + 128
+    code = extended_code()
+    assert {int(x) for x in np.unique(code @ code.T)} == {-24, -8, 0, 8, 24}
+    keys = golay_bands(counts, sizes).reshape(len(sets), TABLES, CLASSES)
+    sums = 2 * counts - sizes[:, None]
+    kind = lambda x: (x * 0x9E3779B1 & 0xFFFFFFFF) >> 29
+    for node, table in ((3, 0), (3, TABLES - 1), (4, 5)):
+        scores = [code @ sums[node, 24 * w : 24 * w + 24] for w in (2 * table, 2 * table + 1)]
+        best: dict = {}
+        for a in np.argsort(-scores[0])[:NEAREST].tolist():
+            for b in np.argsort(-scores[1])[:NEAREST].tolist():
+                pair, score = a << 12 | b, scores[0][a] + scores[1][b]
+                best[kind(pair)] = max(best.get(kind(pair), -np.inf), score)
+        for c, key in enumerate(keys[node, table].tolist()):
+            a, b = key >> 12 & 0xFFF, key & 0xFFF
+            assert key >> 24 == table and kind(key & 0xFFFFFF) in (c, kind(int(np.argmax(scores[0])) << 12 | int(np.argmax(scores[1]))))
+            assert kind(key & 0xFFFFFF) != c or scores[0][a] + scores[1][b] == best[c]
+
+
+def test_sets_at_the_threshold_meet_in_many_tables_whatever_their_size():
+    rng = np.random.default_rng(13)
+    for one, other, both in ((0, 1, 4), (1, 1, 8), (5, 5, 40), (0, 100, 400)):
+        sets = []
+        for _ in range(100):
+            x = rng.integers(0, 1 << 64, one + other + both, np.uint64)
+            sets += [x[: one + both], x[one:]]
+        sizes = np.array([len(s) for s in sets])
+        counts = bit_counts(np.concatenate(sets), np.cumsum(sizes) - sizes)
+        keys, bits = golay_bands(counts, sizes), 2 * counts[:, -128:] > sizes[:, None]
+        met = (keys[::2] == keys[1::2]).reshape(100, TABLES, CLASSES).any(axis=2)
+        assert met.mean() > 0.5 and met.any(axis=1).all() and (bits[::2] != bits[1::2]).sum(axis=1).max() <= DISTANCE
+
+
+def test_nodes_meet_by_key_and_bits(spark):
+    far = -1  # all 64 bits differ from 0
+    rows = [(1, 0, 0, [5, 6]), (2, 1, 0, [5, 6]), (3, far, 0, [5, 7]), (4, 0, 0, [7, 8]), *((i, far * (i % 2), 0, [9]) for i in range(10, 16)), *((i, 0, 0, [2]) for i in range(1000, 4000))]
+    got = meeting(spark.createDataFrame(rows, "node bigint, low bigint, high bigint, keys array<int>"), most=100)
+    cells: dict = {}
+    for r in got.collect():
+        cells.setdefault((r["key"], r["n"]), set()).add(r["node"])
+    assert cells.pop((2, 101)) == set(range(1000, 4000))  # over the block: all, not compared
+    assert sorted((n, sorted(c)) for (_, n), c in cells.items()) == [(2, [1, 2]), (3, [10, 12, 14]), (3, [11, 13, 15])]
+    for most, large in ((4000, False), (100, True)):  # families, and cells where a family would be too large
+        found = {(r["key"], r["node"]): r["n"] for r in families(materialise(got, "cells"), most).collect()}
+        groups: dict = {}
+        for (key, node), n in found.items():
+            groups.setdefault((key, n), set()).add(node)
+        assert sorted((n, sorted(g)[:6]) for (_, n), g in groups.items()) == [(2, [1, 2]), (3, [10, 12, 14]), (3, [11, 13, 15]), (101 if large else 3000, list(range(1000, 1006)))]
