@@ -5,7 +5,9 @@ import os
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from branchframe.operators import lookup
 from branchframe.plans.queries import ORACLE, QUERIES
 from tests.conftest import DATA
 
@@ -53,3 +55,9 @@ def test_merge_needs_one_exchange(spark):
 def test_filters_reach_the_scan(spark):
     plan = QUERIES["table_point_get"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(c_custkey,42)" in plan
+
+
+def test_every_fifth_part_has_a_cell_over_the_limit(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "violations", lambda _: F.octet_length("note"))
+    sizes = QUERIES["cell_limits"](spark, DATA).collect()
+    assert len(sizes) > 100 and all(r["bad"] == ((1 << 20) - 2 if r["p_partkey"] % 5 == 4 else 1) for r in sizes)
