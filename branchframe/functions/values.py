@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +24,8 @@ PAYLOADS = ("bytes", "counter", "members", "fields", "scores", "seq")
 BYTES, COUNTER, SET, HASH, SORTED_SET, SEQUENCE = range(1, 7)
 
 
-def cell_bytes(column: SchemaColumn) -> Column:
-    """Bytes of a cell in key order: a mark, then its content; zero bytes of texts count twice, their end two."""
+def cell_bytes(column: SchemaColumn, zeros: Callable[[Column], Column] | None = None) -> Column:
+    """Bytes of a cell in key order: a mark, then its content; zero bytes of texts (as many as ``zeros`` says) count twice, their end two."""
     x = F.col(column.name)
     if column.type in _FIXED:
         size = F.lit(_FIXED[column.type])
@@ -30,15 +34,21 @@ def cell_bytes(column: SchemaColumn) -> Column:
         size = F.when(digits == 0, 2).otherwise(7 + digits)
     else:
         raw = x.cast("binary")
-        # a text under a quarter of the least limit can't pass one by its zero bytes, so only longer ones are searched for them
-        size = 3 + F.octet_length(raw) + F.when(F.octet_length(raw) > MAX_KEY // 4, _zero_bytes(raw)).otherwise(0)
+        size = 3 + F.octet_length(raw) + (zeros or _zero_bytes)(raw)
     return F.when(x.isNull(), 1).otherwise(size)
 
 
 def _zero_bytes(raw: Column) -> Column:
     """How many bytes are zero: what a text of one character a byte loses when they are taken out."""
     one_each = F.decode(raw, "ISO-8859-1")
-    return F.length(one_each) - F.length(F.translate(one_each, "\x00", ""))
+    return F.octet_length(one_each) - F.octet_length(F.replace(one_each, F.lit("\x00"), F.lit("")))
+
+
+def _over(columns: list[SchemaColumn], limit: int) -> Column:
+    """Whether cells take more than ``limit`` bytes together. Texts hold no zero byte at least and nothing else at most: only where
+    that leaves it open are they searched."""
+    least, most, exact = (reduce(add, [cell_bytes(c, zeros) for c in columns]) for zeros in (lambda _: F.lit(0), F.octet_length, _zero_bytes))
+    return F.when(least > limit, True).when(most <= limit, False).otherwise(exact > limit)
 
 
 def over_limits(schema: Schema) -> Column:
@@ -46,13 +56,10 @@ def over_limits(schema: Schema) -> Column:
     out = F.lit(False)
     for column in schema.columns:
         if column.type not in _FIXED and column.type != "numeric":
-            out = out | (cell_bytes(column) > MAX_CELL)
+            out = out | _over([column], MAX_CELL)
     key = [schema.column(t) for t in schema.primary_key]
     if any(c.type not in _FIXED for c in key):  # type: ignore[union-attr]
-        total = F.lit(0)
-        for column in key:
-            total = total + cell_bytes(column)  # type: ignore[arg-type]
-        out = out | (total > MAX_KEY)
+        out = out | _over(key, MAX_KEY)  # type: ignore[arg-type]
     return out
 
 

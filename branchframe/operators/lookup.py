@@ -38,8 +38,11 @@ def range_scan(df: DataFrame, key: str, start=None) -> DataFrame:
 
 
 def violations(schema: Schema) -> Column:
-    """Whether a row breaks a rule of its columns: NULL, length, UTF-8, canonical decimals, sizes of uuid, jsonb, cells and keys."""
-    bad = F.lit(False)
+    """Whether a row breaks a rule of its columns: NULL, length, canonical decimals, sizes of uuid, jsonb, cells and keys, UTF-8.
+
+    UTF-8 comes last: what is too long needs no reading.
+    """
+    bad, spelt = F.lit(False), F.lit(False)
     for c in schema.columns:
         x = F.col(c.name)
         if not c.nullable:
@@ -47,14 +50,14 @@ def violations(schema: Schema) -> Column:
         if c.type == "varchar":
             bad = bad | F.coalesce(F.length(x) > c.max_len, F.lit(False))
         if c.type in ("text", "varchar", "jsonb"):
-            bad = bad | F.coalesce(~F.is_valid_utf8(x), F.lit(False))
+            spelt = spelt | F.coalesce(~F.is_valid_utf8(x), F.lit(False))
         if c.type == "numeric":
             bad = bad | (x.isNotNull() & ~canonical_numeric(x).eqNullSafe(x))
         if c.type == "uuid":
             bad = bad | F.coalesce(F.length(x) != 16, F.lit(False))
         if c.type == "jsonb":
             bad = bad | F.coalesce(F.length(x) == 0, F.lit(False))
-    return bad | over_limits(schema)
+    return bad | over_limits(schema) | spelt
 
 
 def check_columns(df: DataFrame, schema: Schema, hidden: list[str] | None = None) -> DataFrame:

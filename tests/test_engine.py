@@ -23,7 +23,9 @@ from branchframe.errors import (
     SessionLostError,
     WrongKindError,
 )
+from branchframe.functions import values
 from branchframe.functions.numeric import canonical_numeric
+from branchframe.operators import lookup
 from branchframe.operators import merge as m
 from branchframe.plans.schema import Column, Index, Schema
 from branchframe.sources import store as store_module
@@ -403,6 +405,30 @@ def test_merges_of_large_sets_take_seconds(spark):
     assert got == sum(1 for t in range(n) if (t % 3 and t % 5 != 1 and t % 7 != 2) or (not t % 3 and t % 7 != 2)) and time.time() - began < 30
 
 
+def test_sizes_of_cells_and_keys_are_exact(spark, monkeypatch):
+    pairs = Schema((Column(1, "a", "text"), Column(2, "b", "bytea"), Column(3, "n", "int8")), (1, 2, 3))
+    two = [("\x00" * 1024, b"\x00" * n, 1) for n in (1016, 1017)]  # 2 x 3 bytes, each zero twice, and 9: 4095 and 4097
+    assert [r["bad"] for r in spark.createDataFrame(two, pairs.struct()).select(lookup.violations(pairs).alias("bad")).collect()] == [False, True]
+    monkeypatch.setattr(values, "MAX_CELL", 20)
+    monkeypatch.setattr(values, "MAX_KEY", 30)
+    given = [(f"{i}", "\x00" * z + "x" * (n - z), b"\x01" * (n - z) + b"\x00" * z) for i, (n, z) in enumerate((n, z) for n in range(22) for z in range(n + 1))]
+    for kind, held in (("text", 1), ("bytea", 2)):
+        single = Schema((Column(1, "i", "text"), Column(2, "x", kind)), (2,))
+        out = spark.createDataFrame([(g[0], g[held]) for g in given], single.struct()).select("x", lookup.violations(single).alias("bad")).collect()
+        size = lambda x: 3 + len(x) + (x.count("\x00") if isinstance(x, str) else bytes(x).count(0))
+        assert len(out) == len(given) and all(r["bad"] == (size(r["x"]) > 20) for r in out)
+    odd = spark.createDataFrame([("é\x00é",), ("\x00" * 9,), (None,)], "x string").select(lookup.violations(Schema((Column(1, "x", "text", True),))).alias("bad"))
+    assert [r["bad"] for r in odd.collect()] == [False, True, False]
+
+
+def test_large_cells_are_checked_in_seconds(spark):
+    schema = Schema((Column(1, "id", "int8"), Column(2, "note", "text")), (1,))
+    notes = spark.range(0, 2000, 1, 4).select("id", F.concat(F.col("id").cast("string"), F.repeat(F.lit("x"), (1 << 20) - 2)).alias("note"))
+    started = time.monotonic()
+    assert notes.filter(lookup.violations(schema)).count() == 2000
+    assert time.monotonic() - started < 12
+
+
 def test_change_feed_streams(s, spark, tmp_path):
     first = s.db.state("main").head
     tx = s.begin()
