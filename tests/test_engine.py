@@ -175,6 +175,31 @@ def test_conflicts_leave_the_branch_mid_merge(s, db):
     assert rows(s.begin().table("people").frame())[0] == (1, "ada", 50)
 
 
+@pytest.mark.parametrize("most", [1, 2, None])
+def test_a_merge_of_too_many_conflicts_changes_nothing(spark, tmp_path, most):
+    db = Database.create(spark, str(tmp_path / "db"), n_buckets=2, max_conflicts=most)
+    s = db.session("ann")
+    tx = s.begin()
+    tx.create_table("people", PEOPLE).insert([(1, "ada", 36), (2, "bob", 40)])
+    tx.commit()
+    s.commit("base")
+    s.create_branch("feature")
+    for branch, age in (("main", 50), ("feature", 60)):
+        session = db.session("ann", branch)
+        tx = session.begin()
+        tx.table("people").update([(1, "ada", age), (2, "bob", age)])
+        tx.commit()
+        session.commit("edit")
+    if most == 1:
+        before = db.state("main")
+        with pytest.raises(InvalidError):
+            s.merge("feature")
+        assert db.state("main") == before
+    else:
+        head, conflicts = s.merge("feature")
+        assert head is None and sorted(r["location"] for r in conflicts.collect()) == ["[[1],3]", "[[2],3]"]
+
+
 @pytest.mark.parametrize(("ours", "theirs", "serializes"), [
     (lambda tx: tx.table("people").update([(1, "ada", 37)]), lambda tx: tx.table("people").update([(2, "bob", 41)]), False),
     (lambda tx: tx.table("people").update([(1, "ada", 37)]), lambda tx: tx.table("people").update([(1, "ada", 37)]), True),

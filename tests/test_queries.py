@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from branchframe.engine import database
 from branchframe.operators import lookup
 from branchframe.plans.queries import ORACLE, QUERIES
 from tests.conftest import DATA
@@ -61,3 +62,8 @@ def test_every_fifth_part_has_a_cell_over_the_limit(spark, monkeypatch):
     monkeypatch.setattr(lookup, "violations", lambda _: F.octet_length("note"))
     sizes = QUERIES["cell_limits"](spark, DATA).collect()
     assert len(sizes) > 100 and all(r["bad"] == ((1 << 20) - 2 if r["p_partkey"] % 5 == 4 else 1) for r in sizes)
+
+
+def test_all_conflicts_have_a_location_however_many(spark, monkeypatch):
+    monkeypatch.setattr(database, "MAX_CONFLICTS", 3)
+    compare(QUERIES["engine_conflict_locations"](spark, DATA), ORACLE["engine_conflict_locations"])
