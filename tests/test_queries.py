@@ -67,3 +67,8 @@ def test_every_fifth_part_has_a_cell_over_the_limit(spark, monkeypatch):
 def test_all_conflicts_have_a_location_however_many(spark, monkeypatch):
     monkeypatch.setattr(database, "MAX_CONFLICTS", 3)
     compare(QUERIES["engine_conflict_locations"](spark, DATA), ORACLE["engine_conflict_locations"])
+
+
+def test_an_abort_leaves_ours_however_many_conflicts(spark, monkeypatch):
+    monkeypatch.setattr(database, "MAX_CONFLICTS", 3)
+    compare(QUERIES["engine_merge_abort"](spark, DATA), ORACLE["engine_merge_abort"])
